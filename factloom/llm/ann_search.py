@@ -54,9 +54,9 @@ class CentroidGraph:
         self.links = [np.unique(np.concatenate((a, b))) for a, b in zip(near, ring, strict=True)]
         self.entries = np.unique(np.linspace(0, len(centre) - 1, min(8, len(centre))).astype(int))
 
-    def within(self, x: np.ndarray, ratio: float, spare: int = 8) -> list[int]:
-        """Centroids at most ratio times as far from the unit vector x as the nearest; walks on until `spare` expansions
-        in turn bring none."""
+    def within(self, x: np.ndarray, ratio: float, spare: int = 8, least: int = 3) -> list[int]:
+        """Centroids at most ratio times as far from the unit vector x as the nearest, and `least` in any case; walks on
+        until `spare` expansions in turn bring none."""
         far = np.maximum(2 - 2 * (self.centre[self.entries] @ x), 0)
         seen = dict(zip(self.entries.tolist(), far.tolist(), strict=True))
         heap = [(d, i) for i, d in seen.items()]
@@ -71,7 +71,8 @@ class CentroidGraph:
                     seen[j] = dj
                     best = min(best, dj)
                     heapq.heappush(heap, (dj, j))
-        return [j for j, d in seen.items() if d <= best * ratio * ratio + 1e-12]
+        limit = max(best * ratio * ratio + 1e-12, sorted(seen.values())[: least][-1])
+        return [j for j, d in seen.items() if d <= limit]
 
 
 def replicas(x: np.ndarray, centre: np.ndarray, boundary: float, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +139,7 @@ def _score(held: dict, row: dict):
         yield rows, np.where(held["ids"][rows][:, None] == ids[None, :], -np.inf, s), ids
 
 
-def ann_search(embeddings: DataFrame, is_query: Column, k: int = 20, list_size: int = 400, most_lists: int = 1024, boundary: float = 1.15, most_replicas: int = 3, ratio: float = 1.12, query_block: int = 1024, block: int = 4096) -> DataFrame:
+def ann_search(embeddings: DataFrame, is_query: Column, k: int = 20, list_size: int = 400, most_lists: int = 1024, boundary: float = 1.15, most_replicas: int = 3, ratio: float = 1.2, query_block: int = 1024, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: for each row with is_query, the k nearest other rows found, by inner product."""
     every = usable(embeddings).where(F.exists("embedding", lambda x: x != 0.0))
     every = materialize(every, "vectors")

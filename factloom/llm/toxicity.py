@@ -108,6 +108,7 @@ def _counts(batches):
     held = np.zeros((2, BUCKETS), np.int64)
     for b in slices(batches, "text"):
         bucket, row, _, _ = tokens(*utf8(b.column("text")))
+        row, bucket = np.divmod(np.unique(row * BUCKETS + bucket), BUCKETS)  # once for each text: words come in bursts
         label = np.asarray(b.column("label"))[row]
         for y in (0, 1):
             held[y] += np.bincount(bucket[label == y], minlength=BUCKETS)
@@ -116,12 +117,13 @@ def _counts(batches):
 
 
 def log_odds(other: np.ndarray, toxic: np.ndarray, strength: float = 500.0) -> np.ndarray:
-    """Log-odds with an informative Dirichlet prior, shrunk to 0 where they are within two deviations of it."""
-    prior = (other + toxic + 1e-3) / (other + toxic + 1e-3).sum() * strength
+    """Log-odds with a Dirichlet prior of half a count for each token and `strength` counts dealt as both classes together
+    have them; shrunk to 0 where they are within 2.5 deviations of it."""
+    prior = 0.5 + (other + toxic) / (other + toxic).sum() * strength
     a, b = toxic + prior, other + prior
     odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
     z = np.abs(odds) / np.sqrt(1 / a + 1 / b)
-    return odds * np.clip((z - 2) / 2, 0, 1)
+    return odds * np.clip((z - 2.5) / 1.5, 0, 1)
 
 
 def _maxima(model: ToxicModel):
