@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import vectorized
+
 # Fixed values.
 TRACKING_KEYS = ["fbclid", "gclid", "mc_cid", "mc_eid"]
 METADATA_HOSTS = ["metadata", "metadata.google.internal", "metadata.azure.internal", "instance-data", "169.254.169.254", "100.100.100.200"]
@@ -27,7 +29,7 @@ def port(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url_part(url, "AUTHORITY"), F.lit("")), r":(\d+)$", 1).try_cast("int")
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def _idna(hosts: pd.Series) -> pd.Series:
     def one(h):
         try:
@@ -44,7 +46,12 @@ def canonical_url(url: Column, idna: bool = False) -> Column:
     it such URLs give null."""
     u = F.trim(url)
     scheme, name, number = F.lower(url_part(u, "PROTOCOL")), host(u), port(u)
-    usable = scheme.isin("http", "https") & (name != "") & ~F.contains(F.coalesce(url_part(u, "AUTHORITY"), F.lit("")), F.lit("@"))
+    scheme_ok = scheme.isin("http", "https")
+    usable = scheme_ok & (name != "") & ~F.contains(F.coalesce(url_part(u, "AUTHORITY"), F.lit("")), F.lit("@"))
+    # the JVM's parser knows no host with other letters: it is then cut out of the authority
+    loose = F.regexp_replace(F.lower(F.regexp_extract(u, r"^[^:/?#]+://([^/?#@:]+)", 1)), r"\.$", "")
+    name = F.coalesce(F.nullif(name, F.lit("")), loose) if idna else name
+    usable = scheme_ok & (name != "") & ~F.contains(F.regexp_extract(u, r"^[^:/?#]+://([^/?#]*)", 1), F.lit("@")) if idna else usable
     ascii_ = F.rlike(name, F.lit(r"^[\x00-\x7f]*$"))
     display = F.when(ascii_, name).otherwise(_idna(name)) if idna else F.when(ascii_, name)
     default = F.when(scheme == "http", 80).otherwise(443)
@@ -67,7 +74,7 @@ def source_url(url: Column) -> Column:
     return F.coalesce(F.concat(F.lower(url_part(url, "PROTOCOL")), F.lit("://"), host(url), suffix, path, query), url)
 
 
-@F.pandas_udf("boolean")
+@vectorized("boolean")
 def is_public_address(values: pd.Series) -> pd.Series:
     """A global address, neither multicast nor unspecified."""
 

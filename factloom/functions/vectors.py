@@ -9,6 +9,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import vectorized
+
+
+def constant(values: list[float]) -> Column:
+    """A vector as one literal: an array of literals would be a tree that every rule walks."""
+    return F.expr(f"cast(split('{','.join(repr(float(x)) for x in values)}', ',') as array<double>)")
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -33,7 +40,7 @@ def lite_similarity(cos: Column) -> Column:
     return cos
 
 
-@F.pandas_udf("array<float>")
+@vectorized("array<float>")
 def _fixture_1536(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: fixture_vector(t, 1536))
 

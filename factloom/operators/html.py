@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import vectorized
+
 from ..functions import text as X
 
 # Element names and patterns whose exact form decides results.
@@ -174,7 +176,7 @@ def parse_page(html: str | None, url: str | None) -> dict | None:
     }
 
 
-@F.pandas_udf(DOCUMENT)
+@vectorized(DOCUMENT)
 def html_document(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     rows = [parse_page(h, u) or dict.fromkeys(("body", "title", "author", "publisher", "published_at", "updated_at", "headings", "tables", "quotes", "corrections", "links", "hidden", "malformed_tables", "blocks")) for h, u in zip(html, url, strict=True)]
     out = pd.DataFrame(rows, columns=["body", "title", "author", "publisher", "published_at", "updated_at", "headings", "tables", "quotes", "corrections", "links", "hidden", "malformed_tables", "blocks"])

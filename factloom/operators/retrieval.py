@@ -15,7 +15,7 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, floor: float | N
     k = max(1, min(50, k))
     if where is not None:
         vectors = vectors.where(where)
-    q = F.array(*[F.lit(float(x)) for x in query])
+    q = V.constant(query)
     scored = vectors.withColumn("similarity", V.cosine(F.col(column), q)).where(F.col("similarity").isNotNull())
     if floor is not None:
         scored = scored.where(F.col("similarity") >= max(0.0, min(1.0, floor)))
@@ -108,28 +108,18 @@ def select_diverse(df: DataFrame, by: list[str], key: str, priority: Column, dom
     cand = df.select(*by, F.col(key).alias("id"), priority.alias("p"), domain.alias("d"), cluster.alias("c"), F.array_sort(F.array_intersect(intents, F.array(*[F.lit(x) for x in reserved]))).alias("i"))
     best = Window.partitionBy(*by, "d", "c", "i").orderBy(F.desc("p"), "id")
     cand = cand.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
-    rows = cand.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), "id", "d", "c", "i"))).alias("rows"))
-    empty = F.filter("rows", lambda x: F.lit(False))
-
-    def fits(kept, x):
-        return (F.size(F.filter(kept, lambda y: y["d"] == x["d"])) < per_domain) & ~F.exists(kept, lambda y: (y["c"] == x["c"]) | (y["id"] == x["id"]))
-
-    state = empty
-    for intent in reserved:
-        # the first row with this intent that fits, if the limit isn't reached
-
-        def reserve(kept, state=state, intent=intent):
-            found = F.filter("rows", lambda x: F.array_contains(x["i"], intent) & fits(state, x))
-            return F.when((F.size(found) > 0) & (F.size(state) < limit), F.concat(state, F.slice(found, 1, 1))).otherwise(state)
-
-        rows = rows.withColumn("__kept", reserve(state))
-        state = F.col("__kept")
-        rows = rows.select(*by, "rows", "__kept")
-
-    def fill(kept, x):
-        return F.when((F.size(kept) < limit) & fits(kept, x), F.concat(kept, F.array(x))).otherwise(kept)
-
-    done = rows.select(*by, F.aggregate("rows", F.col("__kept"), fill).alias("kept"))
+    # one fold: first each reserved intent's rows, of which one is taken, then all rows
+    phases = F.array(*[F.when(F.array_contains("i", x), F.lit(n)) for n, x in enumerate(reserved)], F.lit(len(reserved)))
+    turns = cand.withColumn("phase", F.explode(F.filter(phases, lambda x: x.isNotNull())))
+    rows = turns.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("phase", (-F.col("p")).alias("o"), "id", "d", "c"))).alias("rows"))
+    start = F.struct(F.lit(-1).alias("last"), F.filter("rows", lambda x: F.lit(False)).alias("kept"))
+
+    def step(a, x):
+        room = (F.size(a["kept"]) < limit) & ((x["phase"] == len(reserved)) | (a["last"] < x["phase"]))
+        fits = (F.size(F.filter(a["kept"], lambda y: y["d"] == x["d"])) < per_domain) & ~F.exists(a["kept"], lambda y: (y["c"] == x["c"]) | (y["id"] == x["id"]))
+        return F.when(room & fits, F.struct(x["phase"].alias("last"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
+
+    done = rows.select(*by, F.aggregate("rows", start, step)["kept"].alias("kept"))
     return done.select(*by, F.posexplode("kept").alias("position", "x")).select(*by, (F.col("position") + 1).alias("position"), F.col("x.id").alias(key), (-F.col("x.o")).alias("priority"), F.col("x.d").alias("domain"))
 
 

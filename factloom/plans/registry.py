@@ -1,4 +1,8 @@
 """All queries of the engine by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from . import retrieval_queries, scoring_queries
+
+QUERIES: dict = retrieval_queries.QUERIES | scoring_queries.QUERIES
+ORACLES: dict[str, str] = retrieval_queries.ORACLES | scoring_queries.ORACLES

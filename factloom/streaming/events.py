@@ -159,9 +159,13 @@ def once(events: DataFrame) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The events table as a stream; a file of it is a batch."""
+    """The events table as a stream; a file of it is a batch. A table that is one file is found in its folder by name."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", at.getName()).parquet(str(at.getParent()))
 
 
 def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
