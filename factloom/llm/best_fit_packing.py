@@ -13,6 +13,7 @@ columns are not read; very long texts are cut; an empty table gives an empty res
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 
 import numpy as np
@@ -64,20 +65,76 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return bins, offsets, np.array(fill, np.int64)
 
 
+# How the tokenizer's file splits and normalises words, and its special tokens.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+END = b"\xff"  # stands for the vocabulary's end-of-word mark; no UTF-8 text has this byte
+
+
+def byte_of_symbol() -> dict[str, int]:
+    """The bytes that a byte-level vocabulary's symbols stand for: printable ones for themselves, the others counted on from 256."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class WordTokens:
     """Token ids of texts, word by word. The tokenizer never joins what white space parts, so a text's ids are those of its
-    words in turn; a word met before is looked up. The memory is emptied when it holds `most` words."""
+    words in turn; a word met before is looked up. The memory is emptied when it holds more than `most` words.
+
+    A word's pieces are merged by rank over bytes, an end mark being part of the last symbol; words for which this would not
+    be the same (special tokens, letters whose lower case depends on their place) go to the tokenizer itself.
+    """
+
+    def __init__(self, path: str, most: int = 120_000):
+        import json
 
-    def __init__(self, path: str, most: int = 400_000):
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        byte = byte_of_symbol()
+        ranks = {}
+        for token, rank in vocabulary.items():
+            if token not in SPECIAL:
+                last = token.endswith("</w>") and token != "</w>"
+                ranks[bytes(byte[c] for c in (token[:-4] if last else token)) + (END if last else b"")] = rank
+        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.split = regex.compile(SPLIT).findall
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.first, self.length, self.pool = [], [], []
-        self.used = 0
+        self.first, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def word(self, raw: bytes) -> list[int]:
+        w = raw.decode()
+        if not w.isascii():
+            w = unicodedata.normalize("NFC", w)
+        if "Σ" in w or "<|" in w:
+            return self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
+        w = w.lower()
+        if w.isalpha():
+            return self.merge(w.encode() + END)
+        out: list[int] = []
+        for piece in self.split(w):
+            out += self.merge(piece.encode() + END)
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
+        ids: list[int] = []
+        length = np.empty(len(words), np.int64)
+        for i, w in enumerate(words):
+            new = self.word(w)
+            self.known[w] = len(self.first) + i
+            length[i] = len(new)
+            ids += new
+        self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(length) - length))
+        self.length = np.concatenate((self.length, length))
+        self.pool = np.concatenate((self.pool, np.array(ids, np.uint32)))
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, each row's followed by 0, and the number of them in each row."""
@@ -87,23 +144,15 @@ class WordTokens:
         code, distinct = pd.factorize(span_hashes(data, s, e)) if len(s) else (np.zeros(0, np.int64), [])
         one = np.zeros(len(distinct), np.int64)
         one[code] = np.arange(len(code))
-        words = [data[s[i] : e[i]].tobytes() for i in one.tolist()]
-        if fresh := [w for w in words if w not in self.known]:
-            for w, x in zip(fresh, self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-                self.known[w] = len(self.first)
-                self.first.append(self.used), self.length.append(len(x.ids)), self.pool.append(np.array(x.ids, np.uint32))
-                self.used += len(x.ids)
-            self.pool = [np.concatenate(self.pool)]
-        index = np.array([self.known[w] for w in words], np.int64)[code] if words else np.zeros(0, np.int64)
-        first, length = np.array(self.first, np.int64)[index] if words else index, np.array(self.length, np.int64)[index] if words else index
+        words = [data[a:b].tobytes() for a, b in zip(s[one].tolist(), e[one].tolist(), strict=True)]
+        self.learn(list(dict.fromkeys(w for w in words if w not in self.known)))
+        index = np.array([self.known[w] for w in words], np.int64)[code]
+        first, length = self.first[index], self.length[index]
         rows = len(at) - 1
         count = np.bincount(row, weights=length, minlength=rows).astype(np.int64) + 1
-        start = np.concatenate(([0], np.cumsum(count)))
-        ids = np.zeros(int(start[-1]), np.uint32)
-        before = np.cumsum(length) - length
-        if len(length):
-            each = np.repeat(first - before, length) + np.arange(int(length.sum()))
-            ids[np.repeat(row, length) + np.arange(len(each))] = self.pool[0][each]  # every earlier row has one more id, its 0
+        ids = np.zeros(int(count.sum()), np.uint32)
+        each = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        ids[np.repeat(row, length) + np.arange(len(each))] = self.pool[each]  # every earlier row has one more id, its 0
         return ids, count
 
 
@@ -131,7 +180,8 @@ def _pieces(path: str, size: int):
 
 def _pack(size: int, base: int):
     """Packs one group by best-fit decreasing. Where the group came with whole bins (sequence_id given), these stay if the new
-    packing isn't smaller. open: pieces of bins that aren't full, where more bins are used than the bound certifies."""
+    packing isn't smaller. open: pieces of bins that aren't full, where more bins are used than the bound certifies; and of
+    the emptiest bin, which a partition's own bound rounds up for."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = pdf["length"].to_numpy()
@@ -144,7 +194,7 @@ def _pack(size: int, base: int):
         else:
             used = len(fill)
         gap = used > lower_bound(np.bincount(n, minlength=size + 1), size)
-        return pdf.assign(sequence_id=number, offset=offsets, open=gap & (fill[bins] < size))[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open"]]
+        return pdf.assign(sequence_id=number, offset=offsets, open=(fill[bins] < size) & (gap | (bins == fill.argmin())))[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open"]]
 
     return run
 
