@@ -25,6 +25,7 @@ from .common import materialize
 BUCKETS = 4096
 #: Labelled rows, those with the smallest hashes, that the classifier is fitted on at most.
 SAMPLE = 20_000
+PACES = (1.0, 0.6, 0.35, 0.15, 0.05, 0.01)
 
 
 def word_heads(text: Column, letters: int = 5) -> Column:
@@ -74,7 +75,7 @@ def _scored(docs: DataFrame, prior: list[float], weights: list[list[float]], dom
     return scored.select(*keep, "n_tokens", *[(x / reduce(lambda a, b: a + b, e)).alias(f"p{i}") for i, x in enumerate(e)])
 
 
-def fit_rates(scored: DataFrame, targets: list[float], iterations: int = 20, close: float = 1e-6) -> Column:
+def fit_rates(scored: DataFrame, targets: list[float], iterations: int = 30, close: float = 1e-6) -> Column:
     """The rate of a row of scored (n_tokens, p0, p1, ...), as a column of its posteriors."""
     p = [F.col(f"p{i}") for i in range(len(targets))]
     share = np.array(targets, float) / sum(targets)
@@ -93,8 +94,14 @@ def fit_rates(scored: DataFrame, targets: list[float], iterations: int = 20, clo
         metric = np.zeros((len(p), len(p)))
         for (i, j), x in zip(pairs, sums[len(p) :], strict=True):
             metric[i, j] = metric[j, i] = x / total
-        step = np.linalg.lstsq(metric + 1e-9 * np.eye(len(p)), error, rcond=1e-8)[0]
-        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [F.lit(float(c)) * x for c, x in zip(step, p, strict=True)]))
+        step = np.linalg.lstsq(metric + 1e-9 * np.eye(len(p)), error, rcond=1e-3)[0]
+        # rates that meet 0 make whole steps overshoot: of a few paces, the best is taken
+        moved = [F.greatest(F.lit(0.0), F.col("r") - reduce(lambda a, b: a + b, [F.lit(float(pace * c)) * x for c, x in zip(step, p, strict=True)])) for pace in PACES]
+        tried = np.array(now.agg(*[F.sum(m * t * x) for m in moved for x in p]).first()).reshape(len(PACES), -1) / total - share
+        best = int((tried**2).sum(axis=1).argmin())
+        if (tried[best] ** 2).sum() >= (error**2).sum():
+            break
+        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [F.lit(float(PACES[best] * c)) * x for c, x in zip(step, p, strict=True)]))
     return rate
 
 
