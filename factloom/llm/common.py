@@ -39,9 +39,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As materialize(), but dealt into buckets by key: later joins on the key shuffle the other side alone."""
+    spark = df.sparkSession
+    table = f"factloom_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/factloom/{table}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one task for each bucket, so that each has one file
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._factloom_path, out._factloom_table = path, table
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote and nobody reads any more."""
+    """Delete a table that materialize() or bucketed() wrote and nobody reads any more."""
     spark = df.sparkSession
+    if table := getattr(df, "_factloom_table", None):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     at = spark._jvm.org.apache.hadoop.fs.Path(df._factloom_path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

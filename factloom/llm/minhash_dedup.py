@@ -4,9 +4,11 @@ Two permutations make the whole signature: sigma scatters a shingle over a circl
 smallest pi(place + k), pi circularly shifted by k. Bands of coordinates propose pairs; every pair is confirmed on full
 shingle sets; links are contracted to components by joins only.
 
-No group is expanded into all its pairs. Rows with the same set are one class. In a bucket, members meet centres, drawn by
-hash in numbers that double by round, and only while they still lie in different components: every pair of a bucket whose ends
-no other links have joined gets tested by the last round, so no link between different sets that share a band is lost.
+No group is expanded into all its pairs. Rows with the same set are one class. Members of a bucket first meet its hub, the
+member that shares most, in narrow buckets (two bands agree) and then in all. What lies in different components of a bucket
+after that is compared exactly: in small buckets by pairs that sizes and sketches (one bit of each coordinate) don't rule
+out, in large ones block by block of bounded size inside a worker, which gives links alone. Every pair of a bucket whose ends
+no other links have joined is tested, so no link between different sets that share a band is lost.
 
 Cases: null or wordless texts have n_shingles 0 and are linked with nothing; a null doc_id is linked with nothing, its
 component_id is null and it is kept; repeated rows of a doc_id share its component and are all marked kept (near_dedup, the
@@ -15,14 +17,22 @@ stage, keeps one of them); other columns are not read; an empty table gives an e
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, materialize, mix64, slices, span_hashes, utf8, word_spans
+from .common import LOWER, WHITE, bucketed, discard, materialize, mix64, slices, span_hashes, utf8, word_spans
+
+#: Buckets of at most SMALL members compare pair by pair; larger ones in blocks of about BLOCK members with another such block.
+SMALL, BLOCK = 8, 256
 
-_SIG = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+_SIG = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
+#: Coordinates of a signature; the first ones make the bands, one bit of each the sketch.
+COORDINATES = 256
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +94,13 @@ def _signatures(k: int, bands: int, rows: int):
             starts = np.concatenate(([0], np.cumsum(count)[:-1]))[full]
             s1, s2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             keys = np.zeros((n, bands), np.uint64)
+            sketch = np.zeros((n, COORDINATES // 64), np.int64)
             if len(full):
                 s1[full] = np.add.reduceat(mix64(value), starts)
                 s2[full] = np.add.reduceat(mix64(value ^ np.uint64(0xE7037ED1A0B428DB)), starts)
-                sig = circulant_signature(value, starts, bands * rows).astype(np.uint64)
+                sig = circulant_signature(value, starts, max(COORDINATES, bands * rows)).astype(np.uint64)
+                bits = (sig[:COORDINATES] >> np.uint64(9) & np.uint64(1)).astype(np.uint8).T
+                sketch[full] = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
                 for band in range(bands):
                     key = np.full(len(full), band + 1, np.uint64)
                     for r in range(rows):
@@ -95,7 +108,9 @@ def _signatures(k: int, bands: int, rows: int):
                     keys[full, band] = key
             size = np.where(count > 0, bands, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(keys[full].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+            wide = sketch.shape[1]
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * wide, pa.int32()), pa.array(sketch.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists, sketches], ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
 
     return run
 
@@ -116,18 +131,16 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("p"))
-        for step in range(3):
-            parent = materialize(parent, "parent")
+        parent = materialize(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("p")), "parent")
+        for _ in range(2):  # to the parent's parent, twice
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            parent = parent.join(up, "p").select("a", F.col("q").alias("p"))
-        parent = materialize(parent, "parent")
+            parent = materialize(parent.join(up, "p").select("a", F.col("q").alias("p")), "parent")
         if labels is None:
             labels = parent.select(F.col("a").alias("node"), F.col("p").alias("comp"))
         else:
             labels = materialize(labels.join(parent.withColumnRenamed("a", "comp"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
-        pa_, pb = parent.select("a", F.col("p").alias("x")), parent.select(F.col("a").alias("b"), F.col("p").alias("y"))
-        smaller = e.join(pa_, "a").join(pb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        x, y = parent.select("a", F.col("p").alias("x")), parent.select(F.col("a").alias("b"), F.col("p").alias("y"))
+        smaller = e.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         e = materialize(smaller, "edges")
     return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
@@ -141,7 +154,7 @@ def near_duplicates(docs: DataFrame, k_words: int = 5, percent: int = 80, bands:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = materialize(docs.mapInArrow(_signatures(k_words, bands, rows), _SIG), "signatures")
     reps = materialize(
-        sig.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        sig.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
     comps = _linked(docs, reps, k_words, percent)
@@ -153,14 +166,24 @@ def near_duplicates(docs: DataFrame, k_words: int = 5, percent: int = 80, bands:
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
+def _near(x: str, y: str, percent: int) -> Column:
+    """Whether two sketches differ in no more bits than those of a linked pair do but with a probability under 1e-8. A bit
+    differs with probability (1 - similarity) / 2."""
+    p = (1 - percent / 100) / 2
+    most = COORDINATES * p + 6.5 * math.sqrt(COORDINATES * p * (1 - p))
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(COORDINATES // 64)]) <= math.ceil(most)
+
+
 def _linked(docs: DataFrame, reps: DataFrame, k_words: int, percent: int) -> DataFrame:
     """(node, comp) of the class representatives that are linked with another."""
-    spread = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least")).where("size > 1")
-    members = materialize(spread.join(shared, "bucket"), "members")
-    # every member's own draw decides in which round it is a centre: 0 in half of the cases, 1 in a quarter, and so on
-    draw = F.least(F.lit(62), F.expr("length(regexp_extract(conv(hex(xxhash64(rep, 7)), 16, 2), '(0*)$', 1))"))
-    sets = materialize(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")).mapInArrow(_sets(k_words), "rep long, shingles array<long>"), "sets")
+    spread = reps.select("rep", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = materialize(spread.join(shared, "bucket"), "met")
+    # a text that others were made from shares more and larger buckets than they: a good centre
+    weight = met.groupBy("rep").agg(F.sum("size").alias("weight"))
+    some = materialize(reps.join(weight, "rep").select("rep", "n", "sketch", "weight", "bands"), "some")
+    wanted = docs.join(some.select(F.col("rep").alias("doc_id")), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
+    sets = bucketed(wanted.mapInArrow(_sets(k_words), "rep long, shingles array<long>"), "rep", "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
@@ -168,37 +191,109 @@ def _linked(docs: DataFrame, reps: DataFrame, k_words: int, percent: int) -> Dat
         both = pairs.join(b, "b").join(a, "a").withColumn("inter", F.size(F.array_intersect("sa", "sb")).cast("long"))
         return both.where(F.expr(f"100 * inter >= {percent} * (size(sa) + size(sb) - inter)")).select("a", "b")
 
-    lengths = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    # first, each against the smallest that it ever meets
-    meets = members.groupBy("rep").agg(F.min("least").alias("a"), F.first("n").alias("n")).where("a < rep")
-    sizes = reps.select(F.col("rep").alias("a"), F.col("n").alias("m"))
-    links = materialize(confirmed(meets.join(sizes, "a").where(lengths).select("a", F.col("rep").alias("b"))), "links")
-    labels = components(links)
-    level = F.when(F.col("rep") == F.col("least"), 63).otherwise(draw)
-    open_ = members.select("bucket", "rep", "n", "size", level.alias("level"))
-    round_ = 0
-    while True:
-        # members of buckets in which more than one component is left
-        now = open_.where(F.ceil(F.log2(F.col("size"))) >= round_).join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        now = materialize(now.join(mixed, "bucket").select("bucket", "rep", "n", "size", "level", "comp"), "open")
-        top = now.agg(F.max("size")).first()[0]
-        if top is None:
-            return labels
-        # in round r the centres of a bucket of g members are those of level log2(g) - r; all levels above came before, the last round has level 0
-        depth = F.greatest(F.ceil(F.log2(F.col("size"))) - F.lit(round_), F.lit(0))
-        centre = (F.col("level") >= depth) if round_ == 0 else (F.col("level") == depth)
-        c = now.where(centre).select("bucket", F.col("rep").alias("c"), F.col("n").alias("m"), F.col("comp").alias("cc"), F.col("level").alias("cl"))
-        pairs = now.join(c, "bucket").where((F.col("comp") != F.col("cc")) & ((F.col("level") < F.col("cl")) | ((F.col("level") == F.col("cl")) & (F.col("c") < F.col("rep")))) & lengths)
-        pairs = pairs.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
-        found = materialize(confirmed(pairs), "links")
-        if not found.isEmpty():
-            old_a, old_b = labels.select(F.col("node").alias("a"), F.col("comp").alias("x")), labels.select(F.col("node").alias("b"), F.col("comp").alias("y"))
-            merged = components(found.join(old_a, "a", "left").join(old_b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
-            nodes = labels.unionByName(found.select(F.col("a").alias("node"), F.col("a").alias("comp"))).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
-            labels = materialize(nodes.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
-        open_ = now.select("bucket", "rep", "n", "size", "level")
-        round_ += 1
+    labels = some.limit(0).select(F.col("rep").alias("node"), F.col("rep").alias("comp"))
+
+    def add(pairs: DataFrame, links: DataFrame | None = None) -> None:
+        """Confirm pairs (c, rep) and merge the components of linked ones, and of links that are confirmed already."""
+        nonlocal labels
+        found = confirmed(pairs.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct())
+        found = materialize(found if links is None else found.unionByName(links), "links")
+        if found.isEmpty():
+            return
+        x, y = labels.select(F.col("node").alias("a"), F.col("comp").alias("x")), labels.select(F.col("node").alias("b"), F.col("comp").alias("y"))
+        merged = components(found.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+        nodes = labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).withColumn("comp", F.col("node"))).groupBy("node").agg(F.min("comp").alias("comp"))
+        labels = materialize(nodes.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+
+    def labelled(members: DataFrame) -> DataFrame:
+        return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    likely = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)") & _near("sketch", "s", percent) & (F.col("comp") != F.col("cc"))
+
+    def crossed(members: DataFrame, centres: DataFrame, where: Column | None = None) -> DataFrame:
+        """Pairs (c, rep) of a bucket's centres and members of other components that may be linked."""
+        c = centres.select("bucket", F.col("rep").alias("c"), F.col("n").alias("m"), F.col("comp").alias("cc"), F.col("sketch").alias("s"))
+        return members.join(c, "bucket").where(likely if where is None else likely & where).select("c", "rep")
+
+
+    def with_hubs(members: DataFrame) -> DataFrame:
+        """Of each bucket, the member of the largest weight has level 63."""
+        best = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("best"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+        return members.join(best, "bucket").withColumn("level", F.when(F.col("rep") == -F.col("best.r"), 63).otherwise(0)).drop("best")
+
+    # first, where two bands agree: each member with its bucket's hub; most linked texts meet so, in few pairs
+    double = F.expr("transform(sequence(0, size(bands) - 2, 2), i -> xxhash64(i, bands[i], bands[i + 1]))")
+    twice = labelled(materialize(with_hubs(some.select("rep", "n", "sketch", "weight", F.explode(double).alias("bucket"))), "twice"))
+    top = twice.where("level < 63").join(twice.where("level = 63").select("bucket", F.col("rep").alias("c"), F.col("n").alias("m"), F.col("sketch").alias("s"), F.col("weight").alias("w")), "bucket")
+    add(top.groupBy("rep").agg(F.max_by(F.struct("c", "m", "s", "n", "sketch"), F.struct("w", -F.col("c"))).alias("x")).select("rep", "x.*").withColumn("comp", F.col("rep")).withColumn("cc", F.col("c")).where(likely).select("c", "rep"))
+    twice = labelled(twice.drop("comp"))
+    add(crossed(twice, twice.where("level = 63")))
+    # then each with the hubs of all its buckets
+    every = with_hubs(met.select("rep", "bucket").join(some.select("rep", "n", "sketch", "weight"), "rep")).drop("weight")
+    now = mixed_buckets(labelled(every))
+    add(crossed(now, now.where("level = 63")))
+    # at last, all pairs that still lie in different components: few in small buckets, by blocks in the others
+    now = materialize(mixed_buckets(labelled(now.drop("comp", "g"))), "open")
+    once = F.col("c") < F.col("rep")
+    small = now.where(F.col("g") <= SMALL)
+    large = now.where(F.col("g") > SMALL).withColumn("parts", F.ceil(F.col("g") / BLOCK)).withColumn("x", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("parts")))
+    blocks = large.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("rep", "comp", "bucket", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    linked = blocks.join(sets, "rep").groupBy("bucket", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
+    add(crossed(small, small, once), linked.distinct())
+    return _done(labels, sets)
+
+
+def mixed_buckets(members: DataFrame) -> DataFrame:
+    """Members (bucket, rep, comp) of buckets in which more than one component is left, with g, the number of them."""
+    parts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return members.join(parts.select("bucket", "g"), "bucket")
+
+
+def _block_links(percent: int):
+    """Exact similarities of all pairs of a block's sets; gives links enough to join what is linked across components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        size = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+        owner = np.repeat(np.arange(len(rep)), size)
+        _, code, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = often > 1
+        code = np.where(shared, np.cumsum(shared) - 1, -1)[code]
+        owner, code = owner[code >= 0], code[code >= 0]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        common = np.zeros((len(rep), len(rep)), np.float32)
+        for first in range(0, int(shared.sum()), 4096):
+            a, b = np.searchsorted(code, (first, first + 4096))
+            strip = np.zeros((len(rep), 4096), np.float32)
+            strip[owner[a:b], code[a:b] - first] = 1
+            common += strip @ strip.T
+        both = size[:, None] + size[None, :] - common
+        i, j = np.nonzero((100 * common >= percent * both) & (comp[:, None] < comp[None, :]))
+        root = {c: c for c in comp.tolist()}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = top(int(comp[x])), top(int(comp[y]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def _done(labels: DataFrame, sets: DataFrame) -> DataFrame:
+    labels = materialize(labels, "labels")
+    discard(sets)
+    return labels
 
 
 def near_dedup(docs: DataFrame, **parameters) -> DataFrame:
