@@ -130,12 +130,12 @@ def text_signals(spark, d):
 def extraction_quality(spark, d):
     """S34, S44, F11."""
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", X.extraction_quality(t).alias("quality"), X.token_estimate(t).alias("tokens"), X.acceptable(t).alias("acceptable"))
+    return table(spark, d, "documents").select("doc_id", X.extraction_quality(t, 6).alias("quality"), X.token_estimate(t).alias("tokens"), X.acceptable(t).alias("acceptable"))
 
 
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')"
 _NORMAL = f"array_to_string(list_transform({_LINES}, lambda x: regexp_replace(x, '[ \\t\\r\\f\\v]+', ' ', 'g')), chr(10))"
-EXTRACTION_QUALITY = f"""SELECT doc_id, CASE WHEN len({_LINES}) = 0 THEN 0.0 ELSE round_even(least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(length(text) / 2000.0::DOUBLE, 1.0::DOUBLE) * 0.65::DOUBLE + len(list_distinct({_LINES})) / CAST(len({_LINES}) AS DOUBLE) * 0.35::DOUBLE)), 4) END AS quality,
+EXTRACTION_QUALITY = f"""SELECT doc_id, CASE WHEN len({_LINES}) = 0 THEN 0.0 ELSE round_even(least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(length(text) / 2000.0::DOUBLE, 1.0::DOUBLE) * 0.65::DOUBLE + len(list_distinct({_LINES})) / CAST(len({_LINES}) AS DOUBLE) * 0.35::DOUBLE)), 6) END AS quality,
 CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, length({_NORMAL}) >= 200 AND NOT regexp_matches(lower(substr({_NORMAL}, 1, 1000)), 'enable javascript|access denied|verify you are human|subscribe to continue') AS acceptable FROM documents"""
 
 
