@@ -76,8 +76,13 @@ def _with_state(df: DataFrame, key: str, output: str, state: str, first: tuple,
     return df.groupBy(key).applyInPandasWithState(run, output, state, "append", timeout)
 
 
-def monotone_log(events: DataFrame, key: str, sequence: str, ttl_ms: int | None = 86_400_000) -> DataFrame:
-    """ST1, ST2 on a stream: one number of state for each key, dropped a day after its last event."""
+#: Fixed value: a day, as the stream's keys live.
+DAY_MS = 86_400_000
+
+
+def monotone_log(events: DataFrame, key: str, sequence: str, ttl_ms: int | None = None) -> DataFrame:
+    """ST1, ST2 on a stream: one number of state for each key, dropped ttl_ms (DAY_MS in a service) after its last event. A
+    time to live needs a trigger that goes on: with availableNow, batches without data would follow without end."""
 
     def step(now, pdf):
         last, kept = monotone_rows(now[0], pdf, sequence)
@@ -86,7 +91,7 @@ def monotone_log(events: DataFrame, key: str, sequence: str, ttl_ms: int | None
     return _with_state(events, key, events.schema.simpleString()[7:-1].replace(":", " "), "last bigint", (-1,), step, ttl_ms)
 
 
-def fixed_window_limit(events: DataFrame, key: str, at: str, limit: int, seconds: float) -> DataFrame:
+def fixed_window_limit(events: DataFrame, key: str, at: str, limit: int, seconds: float, ttl_ms: int | None = None) -> DataFrame:
     """ST7 on a stream: key, at, allowed."""
 
     def step(now, pdf):
@@ -96,7 +101,7 @@ def fixed_window_limit(events: DataFrame, key: str, at: str, limit: int, seconds
 
     kind = dict(events.dtypes)
     e = events.select(key, F.col(at).cast("double").alias(at))
-    return _with_state(e, key, f"{key} {kind[key]}, {at} double, allowed boolean", "start double, count bigint", (-1.0, 0), step, int(seconds * 1000))
+    return _with_state(e, key, f"{key} {kind[key]}, {at} double, allowed boolean", "start double, count bigint", (-1.0, 0), step, ttl_ms)
 
 
 def transitions(events: DataFrame, key: str, sequence: str, stage: str) -> DataFrame:
