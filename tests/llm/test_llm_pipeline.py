@@ -3,7 +3,7 @@
 
 import corpus_pipeline
 from factloom.llm import secret_scan
-from test_operators import labelled_corpus
+from test_llm_operators import labelled_corpus
 
 
 def test_stages(spark, tmp_path):
