@@ -24,7 +24,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """IO2: a file is a document; its id is the slug of the file's name, its title the first heading."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("content_markdown"), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("name"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("content_markdown"), F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*?)(\.[^.]*)?$", 1).alias("name"))
     title = F.nullif(F.trim(F.regexp_extract("content_markdown", r"(?m)^\s*#\s+(.+)$", 1)), F.lit(""))
     return raw.select(X.slug(F.col("name")).alias("id"), F.coalesce(title, "name").alias("title"), "content_markdown")
 
