@@ -2,8 +2,9 @@
 
 Three base kinds (assign, access, hex) are always reported. Parts that are weak by themselves, an account name (id), a long
 mixed token (key) and a host or URL with a path or port (endpoint), are joined by interval: a scope is `reach` code points
-around a part, cut at blank lines; a weak part is reported only if its scope holds the parts that complement it. A base
-secret counts as a key. Sorted starts and binary search find the partners, so a text with many parts costs n log n.
+around a part, cut at blank lines; a weak part is reported only if its scope reaches a part that complements it, of whatever
+length. A base secret counts as a key, and an access identifier as an id, too. Sorted starts and ends and binary search find the
+partners, so a text with many parts costs n log n.
 
 Cases: null counts as empty, without spans; null doc_ids and repeated rows are rows like others; other columns are not read;
 an empty table gives an empty result. Places are code points, ends exclusive.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,9 +24,9 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, as a match starts at the first place that fits
-_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,64})""", re.I | re.A)
-_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,63}[0-9])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
-_END = re.compile(r"\b(?:https?|postgres(?:ql)?|mysql|redis|amqp|mongodb|ftp)://[^\s\"'<>]{4,200}", re.I | re.A)
+_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I | re.A)
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])", re.A)
+_END = re.compile(r"\b(?:https?|postgres(?:ql)?|mysql|redis|amqp|mongodb|ftp)://[^\s\"'<>]{4,}", re.I | re.A)
 _HINT = re.compile(r"user|login|account|client_?id", re.I | re.A)
 _BLANK = re.compile(r"\n[ \t]*\n")
 BASE = ("assign", "access", "hex")
@@ -41,11 +43,12 @@ def base_spans(text: str) -> list[Span]:
 
 
 def linked_spans(text: str, base: list[Span], reach: int = 300) -> list[Span]:
-    """The weak parts with complementary parts in their scope: an id needs a key; an endpoint an id or a key; a key an id
-    or an endpoint."""
+    """The weak parts with complementary parts in their scope: an id needs a key; an endpoint an id or a key; a key an id, an
+    access identifier or an endpoint."""
     ids = [(m.start(), m.end()) for m in _ID.finditer(text)] if _HINT.search(text) else []
     ends = [m.span() for m in _END.finditer(text)] if "://" in text else []
-    if not ids and not ends:  # no key can be complemented
+    access = [(s, e) for s, e, k in base if k == "access"]
+    if not ids and not ends and not access:  # no key can be complemented
         return []
     keys = []
     strong = [(s, e) for s, e, _ in base]
@@ -55,20 +58,26 @@ def linked_spans(text: str, base: list[Span], reach: int = 300) -> list[Span]:
             keys.append(m.span())
     blanks = [m.start() for m in _BLANK.finditer(text)]
 
-    def near(part: tuple[int, int], sorted_: list[tuple[int, int]]) -> bool:
+    def near(part: tuple[int, int], starts: list[int], stops: list[int]) -> bool:
         lo, hi = part[0] - reach, part[1] + reach
         if i := bisect_left(blanks, part[0]):
             lo = max(lo, blanks[i - 1])
         if (i := bisect_left(blanks, part[1])) < len(blanks):
             hi = min(hi, blanks[i])
-        i, j = bisect_left(sorted_, (lo, -1)), bisect_right(sorted_, (hi, -1))
-        return any(not (e > part[0] and s < part[1]) for s, e in sorted_[i : min(j, i + 3)]) or j - i > 3
-
-    secrets = sorted(keys + strong)
-    out = [(*x, "id") for x in ids if near(x, secrets)]
-    out += [(*x, "key") for x in keys if near(x, sorted(ids + ends))]
-    out += [(*x, "endpoint") for x in ends if near(x, sorted(ids + secrets))]
-    return [x for x in out if not any(s <= x[0] and x[1] <= e for s, e, _ in base[max(0, bisect_left(base, (x[0], -1, "")) - 3) : bisect_right(base, (x[1], -1, ""))])]
+        # the first part behind this one and the last one before it; parts that overlap it don't complement it
+        i, j = bisect_left(starts, part[1]), bisect_right(stops, part[0])
+        return (i < len(starts) and starts[i] < hi) or (j > 0 and stops[j - 1] > lo)
+
+    def places(parts: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+        return sorted(s for s, _ in parts), sorted(e for _, e in parts)
+
+    secrets = keys + strong
+    to_id, to_key, to_end = places(secrets), places(ids + ends + access), places(ids + secrets)
+    out = [(*x, "id") for x in ids if near(x, *to_id)]
+    out += [(*x, "key") for x in keys if near(x, *to_key)]
+    out += [(*x, "endpoint") for x in ends if near(x, *to_end)]
+    starts, reached = [s for s, *_ in base], list(accumulate((e for _, e, _ in base), max))
+    return [x for x in out if not ((i := bisect_right(starts, x[0])) and reached[i - 1] >= x[1])]
 
 
 def spans_of(text: str, reach: int = 300) -> tuple[list[Span], list[Span]]:
