@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,35 @@ def hybrid_score(lexical: Column, exact: Column, metadata: Column, role: Column,
     return F.bround(F.when(vector.isNull(), base / 0.8).otherwise(base + vector * 0.20), 6)
 
 
+def vector_shortlists(queries: DataFrame, vectors: DataFrame, query: tuple[str, str], key: tuple[str, str], k: int = 200, block: int = 2048) -> DataFrame:
+    """T2 for many queries: (query key, key, similarity), the k best vectors of each query by cosine, then key. Blocks of queries
+    meet blocks of vectors inside a worker, which keeps each query's best and what is as good but for rounding."""
+    (qk, qv), (ck, cv) = query, key
+    q = queries.where(F.col(qv).isNotNull()).select(F.col(qk).alias("q"), F.col(qv).cast("array<double>").alias("x"), F.size(qv).alias("dim"))
+    c = vectors.where(F.col(cv).isNotNull()).select(F.col(ck).alias("c"), F.col(cv).cast("array<double>").alias("y"), F.size(cv).alias("dim"))
+    nq, nc = (max(1, -(-df.count() // block)) for df in (q, c))
+    parts = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("i", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int")).withColumn("j", parts(nc))
+    right = c.withColumn("j", F.pmod(F.xxhash64("c"), F.lit(nc)).cast("int")).withColumn("i", parts(nq))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows, columns = np.zeros(0, int), np.zeros(0, int)
+        if len(a) and len(b) and a["dim"].iloc[0]:
+            x, y = np.array(a["x"].tolist(), float), np.array(b["y"].tolist(), float)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)
+            s = np.where(np.isnan(s), -np.inf, s)
+            cut = np.partition(s, s.shape[1] - k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2.0)
+            rows, columns = np.nonzero((s >= cut[:, None] - 1e-9) & (s > -np.inf))
+        return pd.DataFrame({"q": a["q"].to_numpy()[rows], "c": b["c"].to_numpy()[columns]})
+
+    types = f"q {q.schema['q'].dataType.simpleString()}, c {c.schema['c'].dataType.simpleString()}"
+    near = left.groupBy("dim", "i", "j").cogroup(right.groupBy("dim", "i", "j")).applyInPandas(best, types)
+    exact = near.join(q.select("q", "x"), "q").join(c.select("c", "y"), "c").select("q", "c", V.cosine(F.col("y"), F.col("x")).alias("similarity"))
+    top = best_per(exact.where("similarity is not null"), ["q"], [F.desc("similarity"), F.col("c")], k, "__n")
+    return top.select(F.col("q").alias(qk), F.col("c").alias(ck), "similarity")
+
+
 def union_candidates(vector: DataFrame, lexical: DataFrame, keys: list[str]) -> DataFrame:
     """By key; a row of the vector shortlist wins."""
     both = vector.withColumn("__from", F.lit(0)).unionByName(lexical.withColumn("__from", F.lit(1)), allowMissingColumns=True)
