@@ -85,16 +85,17 @@ def _candidates(spark, d):
     """Lexical and vector shortlists of each benchmark item, with all signals of T5. Neither list gates the other; a row of
     the lexical list alone has no similarity."""
     b, docs, e = (table(spark, d, t) for t in ("benchmark", "documents", "embeddings"))
-    names = ("item_id", "text"), ("doc_id", "text")
-    lex = R.best_per(R.lexical_scores(b, docs, *names), ["item_id"], [F.desc("lexical"), F.col("doc_id")], 200).select("item_id", "doc_id", "lexical")
     claims = b.select("item_id", F.col("text").alias("claim"), X.exact_needles(F.col("text")).alias("needles"))
     cv = b.select("item_id").join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("qv")), "item_id")
     dv = docs.select("doc_id").join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
     vec = R.vector_shortlists(cv, dv, ("item_id", "qv"), ("doc_id", "embedding"), 200)
     vec = vec.select("item_id", "doc_id", V.unit_similarity(F.col("similarity")).alias("similarity")).persist()
-    # a vector row's words count in full, whether or not it is in the lexical shortlist
-    found = R.lexical_scores(b, docs.join(vec.select("doc_id").distinct(), "doc_id", "left_semi"), *names)
-    vec = vec.join(found, ["item_id", "doc_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    # one pass over the lexical scores: the best of either kind, then the shortlist; a vector row's words count in full
+    scores = R.lexical_scores(b, docs, ("item_id", "text"), ("doc_id", "text")).join(vec, ["item_id", "doc_id"], "left").withColumn("near", F.col("similarity").isNotNull())
+    order = [F.desc("lexical"), F.col("doc_id")]
+    kept = R.best_per(scores, ["item_id", "near"], order, 200).select("item_id", "doc_id", "lexical", "near").persist()
+    lex = R.best_per(kept, ["item_id"], order, 200).select("item_id", "doc_id", "lexical")
+    vec = vec.join(kept.where("near").select("item_id", "doc_id", "lexical"), ["item_id", "doc_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
     both = R.union_candidates(vec, lex, ["item_id", "doc_id"])
     j = both.join(claims, "item_id").join(docs.select("doc_id", "text", "source"), "doc_id")
     role = F.when(F.col("source") == "src0", "PRIMARY").when(F.col("source") == "src1", "OPINION").otherwise("SECONDARY_REPORT")
