@@ -127,7 +127,7 @@ def diverse_sources(spark, d):
     docs = table(spark, d, "documents")
     priority = F.bround(F.least(F.lit(1.0), F.col("n_chars") / F.lit(5000.0)), 4)
     intents = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("primary"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("support"))).otherwise(F.array(F.lit("contradiction"), F.lit("context")))
-    return R.select_diverse(docs, ["lang"], "doc_id", priority, F.col("source"), X.cluster_key(F.substring("text", 1, 300), F.lit(""), F.col("doc_id").cast("string")), intents, 10)
+    return R.select_diverse(docs, ["lang"], "doc_id", priority, F.col("source"), X.cluster_key(F.col("text"), F.lit(""), F.col("doc_id").cast("string")), intents, 10)
 
 
 def text_signals(spark, d):
@@ -160,7 +160,7 @@ EXACT_DUPLICATES = "SELECT sha256(text) AS text_hash, count(*) AS copies, min(do
 def stable_ids(spark, d):
     """S31, S32, S43, S45."""
     t = F.col("text")
-    return table(spark, d, "benchmark").select("item_id", I.uuid5(t).alias("passage_id"), I.claim_ref(F.col("item_id").cast("string"), X.canonical_text(t)).alias("claim_ref"), X.slug(F.substring(t, 1, 60)).alias("slug"), X.report_title(t).alias("title"))
+    return table(spark, d, "benchmark").select("item_id", I.uuid5(t).alias("passage_id"), I.claim_ref(F.col("item_id").cast("string"), X.canonical_text(t)).alias("claim_ref"), X.slug(t).alias("slug"), X.report_title(t).alias("title"))
 
 
 def _dependencies(spark, d):
