@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -122,11 +123,13 @@ LOWER[0x41:0x5B] += 32
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]."""
+    """A 64-bit hash of each data[start:end]: a polynomial, but for long spans, whose structure could defeat it, a digest."""
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
+    for i in np.flatnonzero(ends - starts > 64).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return mix64(h ^ ((ends - starts).astype(np.uint64) * _M1))
 
 

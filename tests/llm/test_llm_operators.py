@@ -126,7 +126,7 @@ def brute_removed(rows, length):
 
 @pytest.mark.parametrize("block", [20_000, 2])
 def test_suffix_dedup_equals_brute_force(docs, block):
-    got = sorted(map(tuple, suffix_dedup.suffix_dedup(docs, block=block).collect()), key=str)
+    got = sorted((tuple(r)[:5] for r in suffix_dedup.suffix_dedup(docs, block=block).collect()), key=str)
     assert got == sorted(brute_removed(corpus(), 400), key=str)
     assert sum(r[2] for r in got) > 3000
 
@@ -137,7 +137,8 @@ def test_pieces_of_a_long_text_hold_every_start_once(monkeypatch):
 
     t = prose(random.Random(2), 900)
     b = pa.RecordBatch.from_pydict({"text": [t]})
-    starts = [g + n for _, data, at, first in suffix_dedup.long_pieces([b], 400) for s in [suffix_dedup.segments(data, at, 400)] for g, m in zip((s["s"] + first).tolist(), s["n"].tolist(), strict=True) for n in range(m)]
+    law = suffix_dedup.byte_law()
+    starts = [g + n for _, data, at, first in suffix_dedup.long_pieces([b], law) for s in [suffix_dedup.segments(data, at, law)] for g, m in zip((s["s"] + first).tolist(), s["n"].tolist(), strict=True) for n in range(m)]
     assert sorted(starts) == list(range(len(t) - 399))
 
 
