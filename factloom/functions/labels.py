@@ -42,9 +42,10 @@ def weighted(weights: dict[str, str], values: dict[str, Column]) -> Column:
 
 
 def evidence_quality(**components: Column) -> Column:
-    """A1: null where a component is out of [0, 1]."""
+    """A1: null where a component is out of [0, 1]. Hundredths times millionths are whole numbers, so the sum is exact in longs."""
     inside = reduce(lambda a, b: a & b, [c.between(0, 1) for c in components.values()])
-    return F.when(inside, weighted(QUALITY_WEIGHTS, {k: c.cast("decimal(8,6)") for k, c in components.items()}).cast("decimal(10,8)"))
+    parts = [F.lit(int(QUALITY_WEIGHTS[k].replace("0.", ""))) * (c.cast("decimal(8,6)") * 1_000_000).cast("long") for k, c in components.items()]
+    return F.when(inside, (reduce(lambda a, b: a + b, parts).cast("decimal(10,0)") * F.lit("0.00000001").cast("decimal(8,8)")).cast("decimal(10,8)"))
 
 
 def support(p: Column, n: Column) -> Column:

@@ -204,12 +204,22 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     return p.withColumn("status", status).withColumn("quality", F.when(F.col("body").isNotNull(), quality)).withColumn("parser", F.when(F.col("precise").isNotNull(), "precise").when(F.col("body").isNotNull(), "structural")).drop("precise")
 
 
-def access_status(code: Column, content_type: Column, head: Column) -> Column:
-    """Status from HTTP code, media type and the first bytes (binary)."""
-    html = F.lower(content_type).rlike("text/html|application/xhtml|text/plain")
-    pdf = F.lower(content_type).startswith("application/pdf")
-    signature = F.hex(F.substring(head, 1, 4)) == "25504446"
-    return (
-        F.when(code.isin(401, 403), "ACCESS_DENIED").when(code == 402, "PAYWALLED").when(code.isin(404, 410), "NOT_FOUND").when(code == 429, "RATE_LIMITED").when(code >= 500, "SERVER_ERROR").when((code < 200) | (code >= 300), "FETCH_FAILED")
-        .when(~html & ~pdf, "UNSUPPORTED_TYPE").when(pdf & ~signature, "SIGNATURE_MISMATCH").when(~pdf & signature, "SIGNATURE_MISMATCH").otherwise("FETCHED")
-    )
+#: Media types that are read, the most bytes of each kind, and first bytes of executables and archives.
+HTML_TYPES, PDF_TYPES = ["text/html", "application/xhtml+xml", "text/plain"], ["application/pdf"]
+MOST_HTML, MOST_PDF = 5_000_000, 25_000_000
+SIGNATURES = ["4D5A", "7F454C46", "504B0304", "FEEDFACE", "CFFAEDFE", "2321"]
+
+
+def access_status(code: Column, content_type: Column, body: Column, declared: Column) -> Column:
+    """The status of a fetch from HTTP code, media type, body (binary) and the declared length (text or null)."""
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    pdf, head = kind.isin(PDF_TYPES), F.hex(F.substring(body, 1, 5))
+    most, size = F.when(pdf, MOST_PDF).otherwise(MOST_HTML), F.octet_length(body)
+    said = declared.try_cast("long")
+    bad_length = (F.coalesce(declared, F.lit("")) != "") & (said.isNull() | (said < 0) | (said > most))
+    signed = F.lit(False)
+    for x in SIGNATURES:
+        signed = signed | F.startswith(head, F.lit(x))
+    nul = F.rlike(F.hex(F.substring(body, 1, 4096)), F.lit("^(?:..)*?00"))
+    unsupported = ~kind.isin(*HTML_TYPES, *PDF_TYPES) | bad_length | (size > most) | (~pdf & nul) | (pdf & (head != "255044462D")) | signed
+    return F.when(code == 403, "BOT_BLOCKED").when(code.isin(401, 402), "PAYWALLED").when(code >= 400, "INACCESSIBLE").when(F.coalesce(unsupported, F.lit(True)), "UNSUPPORTED").otherwise("FETCHED")

@@ -145,28 +145,78 @@ def plan_violations(objectives: DataFrame, queries: DataFrame, claims: DataFrame
     return out.where("n > 0")
 
 
-def decomposition_violations(claims: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, code, n). claims: run_id, claim_no, text, span, parent_no; runs: run_id, depth, input_text."""
+CLAIM_LIMITS = {"QUICK": 12, "STANDARD": 25, "DEEP": 50}
+
+
+def decomposition_violations(claims: DataFrame, runs: DataFrame, ambiguities: DataFrame) -> DataFrame:
+    """(run_id, code, n). claims: run_id, claim_no (from 0), text, span, parent_no; runs: run_id, depth, input_text; ambiguities:
+    run_id, owner_no, text. A run's parents are walked in one array, as many steps as it has claims."""
     c = claims.join(runs, "run_id")
     per = c.groupBy("run_id").agg(
-        F.greatest(F.count(F.lit(1)) - F.max(X.lookup(F.col("depth"), {"QUICK": 12, "STANDARD": 25, "DEEP": 50})), F.lit(0)).alias("TOO_MANY_CLAIMS"),
-        (F.count(F.lit(1)) - F.countDistinct(X.canonical_text(F.col("text")))).alias("DUPLICATE_CLAIM"),
-        F.count_if(F.col("span").isNotNull() & ~F.contains("input_text", "span")).alias("SPAN_NOT_IN_INPUT"),
-        F.count_if((F.col("parent_no") < 0) | (F.col("parent_no") == F.col("claim_no"))).alias("PARENT_OUT_OF_RANGE"),
+        F.greatest(F.count(F.lit(1)) - F.max(X.lookup(F.col("depth"), CLAIM_LIMITS)), F.lit(0)).alias("DECOMPOSITION_CLAIM_LIMIT_EXCEEDED"),
+        (F.count(F.lit(1)) - F.countDistinct(X.canonical_text(F.col("text")))).alias("DECOMPOSITION_DUPLICATE_CLAIM"),
+        F.count_if(F.col("span").isNotNull() & ~F.contains("input_text", "span")).alias("DECOMPOSITION_INVALID_ORIGINAL_TEXT_SPAN"),
+        F.count(F.lit(1)).alias("claims"), F.array_sort(F.collect_list(F.struct("claim_no", "parent_no"))).alias("p"),
     )
-    names = ["TOO_MANY_CLAIMS", "DUPLICATE_CLAIM", "SPAN_NOT_IN_INPUT", "PARENT_OUT_OF_RANGE"]
-    return per.unpivot(["run_id"], names, "code", "n").where("n > 0")
-
-
-def intake_status(kind: Column, text: Column, url: Column, title: Column) -> Column:
-    """F18."""
-    good_url = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & F.try_parse_url(url, F.lit("HOST")).isNotNull() & F.try_parse_url(url, F.lit("USERINFO")).isNull()
+    parents = F.transform("p", lambda x: x["parent_no"].cast("int"))
+    outside = F.size(F.filter("parents", lambda x: x >= F.col("claims")))
+    step = lambda at, _: F.when((at >= 0) & (at < F.col("claims")), F.get("parents", at))
+    ends = lambda i: F.aggregate(F.sequence(F.lit(0), F.col("claims").cast("int")), i, step)
+    cycle = F.size(F.filter(F.sequence(F.lit(0), F.col("claims").cast("int") - 1), lambda i: ends(i).isNotNull()))
+    per = per.withColumn("parents", parents).withColumns({"DECOMPOSITION_PARENT_INDEX_INVALID": outside.cast("long"), "DECOMPOSITION_CLAIM_CYCLE": cycle.cast("long")})
+    owners = ambiguities.join(per.select("run_id", "claims"), "run_id").groupBy("run_id").agg(F.count_if(F.col("owner_no") >= F.col("claims")).alias("DECOMPOSITION_AMBIGUITY_OWNER_INDEX_INVALID"))
+    codes = [f"DECOMPOSITION_{x}" for x in ("CLAIM_LIMIT_EXCEEDED", "DUPLICATE_CLAIM", "INVALID_ORIGINAL_TEXT_SPAN", "PARENT_INDEX_INVALID", "CLAIM_CYCLE", "AMBIGUITY_OWNER_INDEX_INVALID")]
+    return per.join(owners, "run_id", "left").select("run_id", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in codes]).unpivot(["run_id"], codes, "code", "n").where("n > 0")
+
+
+def assigned_refs(claims: DataFrame, content: list[str]) -> DataFrame:
+    """Claims with claim_ref, `claim-<number>-<16 hex digits>` of their canonical content, and parent_claim_ref. claims:
+    run_id, claim_no (from 0), parent_no and the text columns of `content`."""
+    body = I.sorted_json(**{c: X.canonical_text(F.col(c)) for c in content})
+    c = claims.withColumn("claim_ref", F.concat(F.lit("claim-"), F.col("claim_no") + 1, F.lit("-"), F.substring(I.sha256(body), 1, 16)))
+    p = c.select("run_id", F.col("claim_no").alias("parent_no"), F.col("claim_ref").alias("parent_claim_ref"))
+    return c.join(p, ["run_id", "parent_no"], "left")
+
+
+def intake_status(expected: Column, kind: Column, text: Column, submitted: Column) -> Column:
+    """kinds are text, article_title and article_url; the first failing check, or ACCEPTED."""
+    part = lambda x: F.try_parse_url(F.trim(submitted), F.lit(x))
+    good_url = F.lower(part("PROTOCOL")).isin("http", "https") & part("HOST").isNotNull() & part("USERINFO").isNull()
+    title = F.trim(F.regexp_replace(submitted, r"\s+", " "))
     return (
-        F.when(F.coalesce(F.trim(text), F.lit("")) == "", "EMPTY_TEXT").when(F.length(text) > 100_000, "TEXT_TOO_LONG")
-        .when((kind == "url") & ~F.coalesce(good_url, F.lit(False)), "INVALID_URL").when(F.length(title) > 500, "TITLE_TOO_LONG").otherwise("ACCEPTED")
+        F.when(expected.isNotNull() & (expected != kind), "INPUT_TYPE_MISMATCH")
+        .when((F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")) == "") | (F.length(text) > 100_000), "INVALID_NORMALIZED_INPUT")
+        .when((kind == "article_url") & ~F.coalesce(good_url, F.lit(False)), "INVALID_NORMALIZED_URL")
+        .when((kind == "article_title") & ((F.coalesce(title, F.lit("")) == "") | (F.length(title) > 500)), "INVALID_ARTICLE_TITLE").otherwise("ACCEPTED")
     )
 
 
+def visible_claims(claims: DataFrame, label: str | None = None, text: str = "") -> DataFrame:
+    """claims with a final label and a text that holds what was typed, in either case."""
+    kept = claims.where(F.contains(F.lower("text"), F.lit(text.lower())))
+    return kept if label is None else kept.where(F.col("final_label") == label)
+
+
+def with_inaccessible(claims: DataFrame, objectives: DataFrame, candidates: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Claims with inaccessible: whether a source that was looked up for one of their objectives has a snapshot that was not fetched.
+    Objectives of candidates (array objective_refs) are exploded, so the overlap is an equi-join."""
+    failed = snapshots.where("access_status <> 'FETCHED'").select("run_id", "source_ref").distinct()
+    met = candidates.join(failed, ["run_id", "source_ref"], "left_semi").select("run_id", F.explode("objective_refs").alias("objective_ref")).distinct()
+    hit = objectives.join(met, ["run_id", "objective_ref"], "left_semi").select("run_id", "claim_ref", F.lit(True).alias("__hit")).distinct()
+    return claims.join(hit, ["run_id", "claim_ref"], "left").withColumn("inaccessible", F.coalesce("__hit", F.lit(False))).drop("__hit")
+
+
+def classification_batches(claims: DataFrame, passages: DataFrame, size: int) -> DataFrame:
+    """P11, AJ8: (run_id, batch, payload): JSON lists of at most `size` tasks, a claim and one of its passages each, in order of
+    claim and rank. passages: run_id, claim_ref, rank, passage_id, text; claims: run_id, claim_ref, claim_text."""
+    task = F.concat(F.lit("classification-"), F.substring(I.sha256(F.concat_ws("\x1f", "claim_ref", "passage_id")), 1, 24))
+    j = passages.join(claims, ["run_id", "claim_ref"]).withColumn("task_ref", task)
+    w = Window.partitionBy("run_id").orderBy("claim_ref", "rank", "passage_id")
+    j = j.withColumn("n", F.row_number().over(w)).withColumn("batch", F.floor((F.col("n") - 1) / size))
+    item = F.struct("n", F.struct("task_ref", "claim_ref", "claim_text", "passage_id", "text").alias("task"))
+    return j.groupBy("run_id", "batch").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["task"])).alias("payload"), F.count(F.lit(1)).alias("tasks"))
+
+
 def sections(*named: tuple[str, DataFrame]) -> DataFrame:
     """U8: sentence tables one after another, with section and its number."""
     out = None

@@ -11,10 +11,10 @@ from ..functions import text as X
 from ..functions import vectors as V
 
 
-def vector_topk(vectors: DataFrame, query: list[float], k: int, floor: float | None = None, where: Column | None = None, tie: tuple[str, ...] = ("vec_id",), column: str = "embedding") -> DataFrame:
-    """Rows by cosine distance (then `tie`), with similarity; k between 1 and 50, the floor between 0 and 1. One scan and
-    a top-k in every task."""
-    k = max(1, min(50, k))
+def vector_topk(vectors: DataFrame, query: list[float], k: int, floor: float | None = None, where: Column | None = None, tie: tuple[str, ...] = ("vec_id",), column: str = "embedding", most: int = 50) -> DataFrame:
+    """Rows by cosine distance (then `tie`), with similarity; k between 1 and `most` (50; a passage shortlist has 200), the
+    floor between 0 and 1. One scan and a top-k in every task."""
+    k = max(1, min(most, k))
     if where is not None:
         vectors = vectors.where(where)
     q = V.constant(query)
@@ -24,6 +24,27 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, floor: float | N
     return scored.orderBy(F.desc("similarity"), *tie).limit(k)
 
 
+def match_chunks(chunks: DataFrame, documents: DataFrame, query: Column, k: int = 24, floor: float = 0.0, corpus: str | None = None, document_ids: list | None = None, since: str | None = None, until: str | None = None, language: str | None = None) -> DataFrame:
+    """T2, F2, F4, J6, AJ4, DT7: public chunks by cosine, then the newer document, then the place in it. What is None filters nothing;
+    dates are inclusive. k between 1 and 50, the floor between 0 and 1 are literals, so no row of bounds is joined."""
+    k, floor = max(1, min(50, k)), max(0.0, min(1.0, floor))
+    d = documents.where("visibility = 'public'")
+    wanted = [(corpus, lambda v: F.col("corpus_version") == v), (document_ids, lambda v: F.col("document_id").isin(v)), (since, lambda v: F.col("document_date") >= F.lit(v).cast("date")), (until, lambda v: F.col("document_date") <= F.lit(v).cast("date")), (language, lambda v: F.col("language") == v)]
+    for value, where in wanted:
+        d = d if value is None else d.where(where(value))
+    j = chunks.join(d.select("document_id", "document_date"), "document_id").withColumn("similarity", V.lite_similarity(V.cosine(F.col("embedding"), query)))
+    return j.where(F.col("similarity") >= floor).orderBy(F.desc("similarity"), F.desc_nulls_last("document_date"), "chunk_index").limit(k)
+
+
+def lexical_candidates(chunks: DataFrame, terms: list[str], text: str = "text", label: str = "label") -> DataFrame:
+    """chunks whose text or label holds one of the (at most twelve) terms, in either case; all without terms."""
+    terms = [t.lower() for t in terms[:12]]
+    if not terms:
+        return chunks
+    holds = lambda c: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), t))
+    return chunks.where(holds(text) | holds(label))
+
+
 def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, n, total): each token's number in a text and the number of all of them. The text is tokenized once, and
     its counts are taken in the row: no shuffle."""

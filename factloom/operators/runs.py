@@ -14,7 +14,33 @@ from ..functions import text as X
 STATUS_ORDER = ["QUEUED", "VALIDATING", "DECOMPOSING", "RESEARCHING", "EXTRACTING", "ANALYZING_PROVENANCE", "SCORING", "SYNTHESIZING", "AUDITING", "COMPLETED"]
 TERMINAL = ["COMPLETED", "FAILED", "CANCELLED"]
 #: Keys that no public event may hold.
-PRIVATE_KEYS = ["chain_of_thought", "reasoning", "reasoning_trace", "thinking", "thoughts", "prompt", "raw_response", "api_key"]
+PRIVATE_KEYS = [
+    "analysis", "chain_of_thought", "internal_reasoning", "private_reasoning", "prompt", "raw_model_output", "raw_prompt", "raw_provider_response", "raw_response",
+    "reasoning", "reasoning_trace", "thinking", "thoughts",
+]
+#: Steps done when a status is reached, of so many.
+COMPLETED_STEPS = {
+    "QUEUED": 0, "VALIDATING": 0, "DECOMPOSING": 1, "RESEARCHING": 2, "EXTRACTING": 3, "ANALYZING_PROVENANCE": 5, "SCORING": 6, "SYNTHESIZING": 7, "AUDITING": 8, "COMPLETED": 9,
+    "FAILED": 0, "CANCELLED": 0,
+}
+TOTAL_STEPS = 9
+#: Codes of failures that come again however often one retries.
+DETERMINISTIC_CODES = ["AGENT_CONTRACT_REPAIR_EXHAUSTED", "STRUCTURED_RESPONSE_INVALID", "STRUCTURED_RESPONSE_REPAIR_EXHAUSTED", "STRUCTURED_SCHEMA_REPAIR_EXHAUSTED"]
+#: Public reasons by access status, of submitted URLs and of evidence sources.
+SUBMITTED_REASONS = {
+    "PAYWALLED": "The submitted URL is paywalled or requires authentication.",
+    "BOT_BLOCKED": "The submitted URL denied automated retrieval.",
+    "UNSUPPORTED": "The submitted URL returned unsupported content.",
+    "RETRYABLE": "The submitted URL was temporarily unavailable.",
+    "OTHER": "The submitted URL could not be accessed safely.",
+}
+SOURCE_REASONS = {
+    "PAYWALLED": "The evidence source is paywalled or requires authentication.",
+    "BOT_BLOCKED": "The evidence source denied automated retrieval.",
+    "UNSUPPORTED": "The evidence source returned unsupported content.",
+    "RETRYABLE": "The evidence source was temporarily unavailable.",
+    "OTHER": "The evidence source could not be accessed safely.",
+}
 
 
 def ilike_any(pattern: str, *columns: Column) -> Column:
@@ -108,7 +134,12 @@ def authorized(runs: DataFrame, shares: DataFrame, viewer, now: Column, scopes:
 
 def is_demo() -> Column:
     """F25."""
-    return (F.col("visibility") == "public_demo") & (F.col("status") == "COMPLETED") & F.col("deleted_at").isNull()
+    return (F.col("visibility") == "public_demo") & (F.col("status") == "COMPLETED") & F.col("evidence_reviewed_at").isNotNull() & F.col("deleted_at").isNull()
+
+
+def demo_runs(runs: DataFrame, limit: int = 12) -> DataFrame:
+    """The demo runs reviewed last."""
+    return runs.where(is_demo()).orderBy(F.col("evidence_reviewed_at").desc(), "id").limit(limit)
 
 
 def can_retry(status: Column) -> Column:
@@ -116,10 +147,23 @@ def can_retry(status: Column) -> Column:
     return status.isin("FAILED", "CANCELLED")
 
 
+def can_save(status: Column) -> Column:
+    """completed reports can be saved and exported."""
+    return status == "COMPLETED"
+
+
+def can_delete(status: Column, hold_until: Column, now: Column) -> Column:
+    """ended runs without a legal hold."""
+    return status.isin(TERMINAL) & F.coalesce(hold_until <= now, F.lit(True))
+
+
 def is_private_payload(payload: Column) -> Column:
-    """whether a JSON text holds a forbidden key at any depth."""
+    """whether a JSON text holds a forbidden key at any depth, in either case, with hyphens for underscores. The text is
+    parsed and written again, so that escapes in keys are plain and quotes in values are not."""
     keys = "|".join(k.replace("_", "[_-]") for k in PRIVATE_KEYS)
-    return F.rlike(payload, F.lit(rf'(?i)"\s*({keys})\s*"\s*:'))
+    canonical = F.coalesce(F.to_json(F.try_parse_json(payload)), payload)
+    space = r"(?:\s|\\[nrtfb])*"
+    return F.rlike(canonical, F.lit(rf'(?i)[{{,]\s*"{space}({keys}){space}"\s*:'))
 
 
 def transition_violations(events: DataFrame) -> DataFrame:
@@ -157,16 +201,23 @@ def latest_terminal(events: DataFrame) -> DataFrame:
 
 
 def public_events(events: DataFrame) -> DataFrame:
-    """P10, AJ6: payload fields with their defaults; malformed payloads count as empty."""
+    """P10, AJ6: payload fields with their defaults; malformed payloads count as empty. events: run_id, sequence, stage, message,
+    payload, and, where there are any, event_type and created_at."""
+    events = events.withColumns({c: F.lit(None).cast(t) for c, t in (("event_type", "string"), ("created_at", "timestamp")) if c not in events.columns})
     p = F.from_json("payload", "completed_steps int, total_steps int, inaccessible_count int, source_counts map<string,int>")
-    steps = {s: n for s, n in zip(STATUS_ORDER, (0, 0, 1, 2, 3, 5, 6, 7, 8, 13), strict=True)}
     return events.withColumn("__p", p).select(
         "run_id", "sequence", "stage", F.coalesce("message", F.lit("Research progress updated.")).alias("message"),
-        F.coalesce("__p.completed_steps", X.lookup(F.col("stage"), steps, 0)).alias("completed_steps"), F.coalesce("__p.total_steps", F.lit(13)).alias("total_steps"),
+        F.coalesce("__p.completed_steps", X.lookup(F.col("stage"), COMPLETED_STEPS, 0)).alias("completed_steps"), F.coalesce("__p.total_steps", F.lit(TOTAL_STEPS)).alias("total_steps"),
         F.coalesce("__p.inaccessible_count", F.lit(0)).alias("inaccessible_count"), F.coalesce("__p.source_counts", F.create_map().cast("map<string,int>")).alias("source_counts"),
+        F.coalesce("event_type", F.lit("run.progress")).alias("event_type"), F.coalesce("created_at", F.current_timestamp()).alias("created_at"),
     )
 
 
+def stage_progress(stage_no: Column, completed: Column, stages: int = 13) -> tuple[Column, Column]:
+    """ST11: a worker's own count of its stages, which are more than the public steps."""
+    return F.when(completed, stage_no).otherwise(stage_no - 1), F.lit(stages)
+
+
 def report(run_id: str, runs: DataFrame, claims: DataFrame, evidence: DataFrame, calculations: DataFrame, citations: DataFrame) -> DataFrame:
     """One row for the run, with its claims (each with evidence), calculations and citations as sorted arrays. Filters on
     run_id reach the scans; each child table is grouped once."""
@@ -228,44 +279,97 @@ def demo_projection(runs: DataFrame) -> DataFrame:
     return runs.where(is_demo()).withColumns({c: F.lit(None).cast("string") for c in ("user_id", "submitted_url")})
 
 
-def failure_reason(status: Column, detail: Column) -> tuple[Column, Column]:
+def failure_reason(status: Column, submitted: Column, retryable: Column) -> tuple[Column, Column]:
     """Reason code and its public text."""
-    text = {"PAYWALLED": "The page requires a subscription.", "BOT_BLOCKED": "The page blocked automated access.", "NOT_FOUND": "The page was not found."}
-    return F.concat_ws(":", status, detail), X.lookup(status, text, "The page could not be read.")
-
-
-def safe_ratio_metrics(per_run: DataFrame, prices: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """(run_id, name, value, unit) from one row of counts for each run: snapshots, fetched, extracted, results,
-    cache_hits, browser, approved, duplicates, candidates, prompt_tokens, total_tokens, requests, median_latency."""
-    c = F.col
+    known = ["PAYWALLED", "BOT_BLOCKED", "UNSUPPORTED"]
+    code = F.concat(F.when(submitted, "SUBMITTED_URL").otherwise("SOURCE"), F.lit("_"), F.when(status.isin(known), status).otherwise("INACCESSIBLE"))
+    kind = F.when(status.isin(known), status).when(retryable, "RETRYABLE").otherwise("OTHER")
+    return code, F.when(submitted, X.lookup(kind, SUBMITTED_REASONS)).otherwise(X.lookup(kind, SOURCE_REASONS))
+
+
+#: Kinds of failures of structured answers.
+FAILURE_SUBTYPES = ["response_json", "choices_envelope", "message_content_type", "content_json", "usage_metadata", "output_schema"]
+#: Metrics that are plain counts, with their units; each is a column of that name.
+COUNTS = {
+    "brave_query_count": "query", "brave_network_request_count": "request", "brave_cache_hit_count": "query", "brave_phase_two_query_count": "query", "brave_gate_expansion_count": "expansion",
+    "deepseek_request_count": "request", "deepseek_batch_count": "batch", "deepseek_repair_count": "repair", "deepseek_recovery_count": "recovery_call",
+    "deepseek_split_fallback_count": "split_fallback", "deepseek_recovery_success_count": "recovered_batch", "deepseek_recovery_exhaustion_count": "exhausted_stage",
+    "queue_length": "job", "retry_count": "retry",
+}
+
+
+def run_metric_points(per_run: DataFrame, prices: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """(run_id, name, value, unit), 35 points for each row of counts: snapshots, fetched, extracted, results, cache_hits,
+    browser, approved, duplicates, candidates, prompt_tokens, total_tokens, median_latency, duration_seconds, citation_failed,
+    cancelled, the columns of COUNTS and structured_failures (a map by subtype). Counts that per_run lacks are 0. prices: of a
+    million tokens in and out, and of a search request."""
+    have = set(per_run.columns)
+    c = lambda name: F.coalesce(F.col(name), F.lit(0)) if name in have else F.lit(0)
     out = F.greatest(c("total_tokens") - c("prompt_tokens"), F.lit(0))
-    cost = (c("prompt_tokens").cast("decimal(20,0)") * F.lit(prices[0]).cast("decimal(10,4)") + out.cast("decimal(20,0)") * F.lit(prices[1]).cast("decimal(10,4)")) / 1_000_000 + c("requests") * F.lit(prices[2]).cast("decimal(10,6)")
-    metrics = {
+    money = lambda n, price: n.cast("decimal(18,0)") * F.lit(str(price)).cast("decimal(16,8)")
+    cost = ((money(c("prompt_tokens"), prices[0]) + money(out, prices[1])) * F.lit("0.000001").cast("decimal(7,6)")).cast("double") + money(c("brave_network_request_count"), prices[2]).cast("double")
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)).cast("int") if name in have else F.lit(0)
+    values = {
         "search_to_fetch_conversion": (L.safe_ratio(c("fetched"), c("results")), "ratio"), "extraction_success": (L.safe_ratio(c("extracted"), c("fetched")), "ratio"),
-        "cache_hit_rate": (L.safe_ratio(c("cache_hits"), c("fetched")), "ratio"), "browser_fallback_rate": (L.safe_ratio(c("browser"), c("fetched")), "ratio"),
-        "duplicate_cluster_rate": (L.safe_ratio(c("duplicates"), c("candidates")), "ratio"), "evidence_yield": (L.safe_ratio(c("approved"), c("fetched")), "evidence_per_source"),
-        "source_accessibility_failure_rate": (L.safe_ratio(c("snapshots") - c("fetched"), c("snapshots")), "ratio"), "median_fetch_latency": (F.coalesce(c("median_latency"), F.lit(0.0)), "millisecond"),
-        "token_usage": (c("total_tokens"), "token"), "input_token_usage": (c("prompt_tokens"), "token"), "output_token_usage": (out, "token"), "request_count": (c("requests"), "request"), "cost_per_run": (cost, "currency_usd"),
+        "median_fetch_latency": (c("median_latency"), "millisecond"), "playwright_fallback_rate": (L.safe_ratio(c("browser"), c("fetched")), "ratio"),
+        "cache_hit_rate": (L.safe_ratio(c("cache_hits"), c("fetched")), "ratio"), "duplicate_cluster_rate": (L.safe_ratio(c("duplicates"), c("candidates")), "ratio"),
+        "evidence_yield": (L.safe_ratio(c("approved"), c("fetched")), "evidence_per_source"), "cost_per_verification": (cost, "currency_usd"),
+        "deepseek_token_usage": (c("total_tokens"), "token"), "deepseek_input_token_usage": (c("prompt_tokens"), "token"), "deepseek_output_token_usage": (out, "token"),
+        "source_accessibility_failure_rate": (L.safe_ratio(c("snapshots") - c("fetched"), c("snapshots")), "ratio"), "citation_audit_failure_rate": (flag("citation_failed"), "ratio"),
+        "run_duration": (F.bround(c("duration_seconds").cast("double"), 6), "second"), "cancellation_rate": (flag("cancelled"), "ratio"),
     }
-    points = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), F.lit(u).alias("unit")) for n, (v, u) in metrics.items()])
+    values |= {name: (c(name), unit) for name, unit in COUNTS.items()}
+    failures = lambda k: F.coalesce(F.try_element_at("structured_failures", F.lit(k)), F.lit(0)) if "structured_failures" in have else F.lit(0)
+    values |= {f"deepseek_structured_failure_{k}_count": (failures(k), "failure") for k in FAILURE_SUBTYPES}
+    points = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), F.lit(u).alias("unit")) for n, (v, u) in values.items()])
     return per_run.select("run_id", F.inline(points))
 
 
 def merged_batches(batches: DataFrame, by: list[str]) -> DataFrame:
-    """Token sums, most attempts, failures by kind; uniform: all batches used one model, prompt and temperature."""
+    """Sums of tokens, latency, requests, repairs and recoveries, most attempts, failures by kind; uniform: all batches used one
+    model, prompt and temperature. batches: by, model, prompt, temperature, attempts, failures map and the summed columns, those
+    that there are."""
     kinds = batches.select(*by, F.explode_outer("failures").alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v")).where("k is not null").groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("failures"))
-    sums = batches.groupBy(*by).agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("total_tokens").alias("total_tokens"), F.max("attempts").alias("attempts"), (F.countDistinct(F.struct("model", "prompt", "temperature")) == 1).alias("uniform"))
+    summed = [c for c in ("prompt_tokens", "completion_tokens", "total_tokens", "latency_ms", "request_count", "repair_count", "recovery_count", "split_fallback_count", "recovery_success_count") if c in batches.columns]
+    sums = batches.groupBy(*by).agg(*[F.sum(c).alias(c) for c in summed], F.count(F.lit(1)).alias("batches"), F.max("attempts").alias("attempts"), (F.countDistinct(F.struct("model", "prompt", "temperature")) == 1).alias("uniform"))
     return sums.join(kinds, by, "left")
 
 
-def is_retryable(code: Column) -> Column:
-    """F26."""
-    return ~F.coalesce(code.rlike("CONTRACT|SCHEMA|INVALID|UNSUPPORTED|POLICY|BUDGET_EXCEEDED"), F.lit(False))
+def is_retryable(code: Column, retryable: Column, error_code: Column, recovery_exhausted: Column) -> Column:
+    """what the workflow says, but for failures of contract and bodies that no local recovery could parse."""
+    final = F.coalesce(code.isin(DETERMINISTIC_CODES), F.lit(False)) | F.coalesce(error_code.isin(DETERMINISTIC_CODES), F.lit(False))
+    unparsed = F.coalesce((error_code == "PROVIDER_BODY_PARSE_EXHAUSTED") & recovery_exhausted, F.lit(False))
+    return ~final & ~unparsed & retryable
 
 
 def latest_per(df: DataFrame, key: list[str], at: str) -> DataFrame:
-    """IO15: the latest row of each key."""
-    return df.groupBy(*key).agg(F.max_by(F.struct(*[c for c in df.columns if c not in key]), at).alias("r")).select(*key, "r.*")
+    """IO15: the latest row of each key; a null time is the earliest, ties go to the largest row."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(at).isNotNull(), at, F.xxhash64(*rest))).alias("r")).select(*key, "r.*")
+
+
+def active_runs(runs: DataFrame) -> DataFrame:
+    """(user_id, active, visible): runs that haven't ended, and those that aren't deleted."""
+    return runs.groupBy("user_id").agg(F.count_if(~F.col("status").isin(TERMINAL)).alias("active"), F.count_if(F.col("deleted_at").isNull()).alias("visible"))
+
+
+def reviewed_at(runs: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """DT2, DT6: runs with evidence_reviewed_at, else the latest retrieval of their snapshots; UTC in a UTC session."""
+    last = snapshots.groupBy("run_id").agg(F.max("retrieved_at").alias("__last"))
+    return runs.join(last, "run_id", "left").withColumn("evidence_reviewed_at", F.coalesce("evidence_reviewed_at", "__last")).drop("__last")
+
+
+def snapshot_label(version: Column, retrieved_at: Column) -> Column:
+    """DT5: `v3 · 2024-05-01`."""
+    return F.concat(F.lit("v"), version, F.lit(" · "), F.date_format(retrieved_at, "yyyy-MM-dd"))
+
+
+def merged_json(old: Column, **new: Column) -> Column:
+    """AJ2: a map of JSON texts with the new entries over the old ones."""
+    pairs = [x for k, v in new.items() for x in (F.lit(k), F.to_json(v))]
+    added = F.create_map(*pairs)
+    kept = F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(added, k))
+    return F.map_concat(kept, added)
 
 
 def coverage(expected: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:

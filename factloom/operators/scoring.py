@@ -48,34 +48,50 @@ def balance(weighted: DataFrame, by: list[str]) -> DataFrame:
     return sums.withColumn("total", F.col("supporting") + F.col("contradicting")).withColumn("support", L.support(p, n)).withColumn("consistency", L.consistency(p, n))
 
 
-def diversity(weighted: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:
-    """Independence of each key, from its distinct sources. One row for each key and source is aggregated."""
-    own = weighted.select(*by, "source_ref", *([] if "run_id" in by else ["run_id"])).distinct()
-    s = own.join(sources, ["run_id", "source_ref"], "left")
+def by_source(evidence: DataFrame, multipliers: DataFrame, sources: DataFrame) -> DataFrame:
+    """A1, A2: one row for each claim and source: sums of its accepted items and the source's own columns. Evidence, multipliers and
+    sources meet on (run_id, source_ref), and the aggregate keeps that partitioning: the evidence is shuffled once."""
+    accepted = evidence.where(F.size("rejection_reasons") == 0)
+    w = weighted_evidence(accepted, multipliers).join(sources, ["run_id", "source_ref"], "left")
+    up, down = F.greatest("value", F.lit(0)) * F.col("weight"), F.greatest(-F.col("value"), F.lit(0)) * F.col("weight")
+    own = [c for c in sources.columns if c not in ("run_id", "source_ref")]
+    return w.groupBy("run_id", "claim_ref", "source_ref").agg(
+        F.sum(up).cast("decimal(28,12)").alias("up"), F.sum(down).cast("decimal(28,12)").alias("down"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("quality") * F.col("weight")).alias("qw"), F.sum("weight").alias("w"),
+        F.array_distinct(F.flatten(F.collect_set("context_issues"))).alias("context_issues"), F.array_distinct(F.flatten(F.collect_set("confidence_issues"))).alias("confidence_issues"),
+        *[F.first(c).alias(c) for c in own],
+    )
+
+
+def up_to_two(c: Column) -> Column:
+    """An aggregate: the number of distinct values, 2 for more. What counts is none, one or several (A8 caps at 2), so the smallest
+    and the largest value tell it, in one pass with map-side combine."""
+    return F.when(F.min(c).isNull(), 0).when(F.min(c) == F.max(c), 1).otherwise(2)
+
+
+def gathered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """A3 to A5, A7, A8 of each key from by_source() rows, in one aggregate: balance, mean quality, issues, and independence of the
+    distinct sources. origins, primary_sources, organizations, methods and sources are 0, 1, or 2 for more."""
     org = F.coalesce(F.nullif(F.lower("organization"), F.lit("")), F.col("source_ref"))
-    parts = s.groupBy(*by).agg(
-        F.countDistinct(F.coalesce("origin", "source_ref")).alias("origins"),
-        F.count_if(F.col("source_type") == "PRIMARY").alias("primary_sources"),
-        F.countDistinct(org).alias("organizations"),
-        F.greatest(F.countDistinct("data_chain"), F.count_if(F.col("independent"))).alias("methods"),
-        F.count(F.lit(1)).alias("sources"),
+    source = F.col("source_ref")
+    sums = rows.groupBy(*by).agg(
+        F.sum("up").cast("decimal(28,12)").alias("supporting"), F.sum("down").cast("decimal(28,12)").alias("contradicting"), F.sum("n").alias("items"),
+        (100 * F.try_divide(F.sum("qw").cast("double"), F.sum("w").cast("double"))).alias("average_quality"),
+        *[F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("context_issues", "confidence_issues")],
+        up_to_two(F.coalesce("origin", "source_ref")).alias("origins"), up_to_two(F.when(F.col("source_type") == "PRIMARY", source)).alias("primary_sources"), up_to_two(org).alias("organizations"),
+        F.greatest(up_to_two(F.col("data_chain")), up_to_two(F.when(F.col("independent"), source))).alias("methods"), up_to_two(source).alias("sources"),
         F.max(F.when(F.col("source_type") == "OFFICIAL_SELF_REPORT", 1).otherwise(0)).alias("self_report"),
-    )
-    return parts.withColumn("independence", L.source_independence(**{k: L.diversity_part(F.col(k)) for k in L.INDEPENDENCE_WEIGHTS}))
+    )
+    p, n = F.col("supporting").cast("double"), F.col("contradicting").cast("double")
+    sums = sums.withColumn("total", F.col("supporting") + F.col("contradicting")).withColumn("support", L.support(p, n)).withColumn("consistency", L.consistency(p, n))
+    return sums.withColumn("independence", L.source_independence(**{k: L.diversity_part(F.col(k)) for k in L.INDEPENDENCE_WEIGHTS}))
 
 
-def claim_scores(evidence: DataFrame, multipliers: DataFrame, sources: DataFrame, claims: DataFrame, minimum: float = 0.5) -> DataFrame:
-    """Scores, gates and label of each claim of claims, from its accepted evidence."""
+def claim_scores(rows: DataFrame, claims: DataFrame, minimum: float = 0.5) -> DataFrame:
+    """Scores, gates and label of each claim of claims, from its by_source() rows."""
     by = ["run_id", "claim_ref"]
-    w = weighted_evidence(evidence.where(F.size("rejection_reasons") == 0), multipliers)
-    quality = w.groupBy(*by).agg(
-        (100 * F.try_divide(F.sum(F.col("quality") * F.col("weight")).cast("double"), F.sum("weight").cast("double"))).alias("average_quality"),
-        F.array_distinct(F.flatten(F.collect_set("context_issues"))).alias("context_issues"),
-        F.array_distinct(F.flatten(F.collect_set("confidence_issues"))).alias("confidence_issues"),
-    )
-    d = diversity(w, sources, by)
-    j = claims.join(balance(w, by), by, "left").join(quality, by, "left").join(d, by, "left")
     none = F.array().cast("array<string>")
+    j = claims.join(gathered(rows, by), by, "left")
     j = j.withColumn("adequate", F.coalesce(F.col("total").cast("double") >= minimum, F.lit(False)))
     j = j.withColumn("primary_access", F.when(F.col("primary_sources") > 0, 100.0).otherwise(0.0))
     issues = F.array_union(
@@ -96,12 +112,9 @@ def claim_scores(evidence: DataFrame, multipliers: DataFrame, sources: DataFrame
     return j.withColumn("label", L.claim_label(F.col("support"), F.col("confidence"), F.col("context"), F.size("reasons") > 0))
 
 
-def run_scores(claim_scores_: DataFrame, evidence: DataFrame, multipliers: DataFrame, sources: DataFrame, minimum: float = 0.5) -> DataFrame:
+def run_scores(claim_scores_: DataFrame, rows: DataFrame, minimum: float = 0.5) -> DataFrame:
     """One row for each run. Balance and quality are over all accepted items, not means of claims."""
-    w = weighted_evidence(evidence.where(F.size("rejection_reasons") == 0), multipliers)
-    overall = balance(w, ["run_id"])
-    quality = w.groupBy("run_id").agg((100 * F.try_divide(F.sum(F.col("quality") * F.col("weight")).cast("double"), F.sum("weight").cast("double"))).alias("average_quality"))
-    d = diversity(w, sources, ["run_id"]).select("run_id", "independence", "primary_sources", "sources", "self_report")
+    overall = gathered(rows, ["run_id"]).select("run_id", "average_quality", "consistency", "total", "independence", "primary_sources", "sources", "self_report")
     essential = F.col("importance") == "essential"
     scored = F.col("support").isNotNull()
     weight = F.col("importance_weight").cast("double")
@@ -121,7 +134,7 @@ def run_scores(claim_scores_: DataFrame, evidence: DataFrame, multipliers: DataF
         F.array_distinct(F.flatten(F.collect_set(F.array_remove("confidence_issues", "essential_term_ambiguous")))).alias("issues"),
         F.bool_or(F.array_contains("confidence_issues", "speaker_or_date_unresolved") & (F.col("claim_kind").isin("attribution", "quotation") | F.col("has_period"))).alias("speaker_block"),
     )
-    j = per_run.join(overall, "run_id", "left").join(quality, "run_id", "left").join(d, "run_id", "left")
+    j = per_run.join(overall, "run_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     j = j.withColumn("coverage", F.coalesce(F.when(F.col("any_essential"), F.col("coverage_essential")).otherwise(F.col("coverage_all")), F.lit(0.0)))
     j = j.withColumn("confidence", L.verdict_confidence(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval_queries, scoring_queries
+from . import record_queries, retrieval_queries, scoring_queries
 
-QUERIES: dict = retrieval_queries.QUERIES | scoring_queries.QUERIES
-ORACLES: dict[str, str] = retrieval_queries.ORACLES | scoring_queries.ORACLES
+QUERIES: dict = retrieval_queries.QUERIES | scoring_queries.QUERIES | record_queries.QUERIES
+ORACLES: dict[str, str] = retrieval_queries.ORACLES | scoring_queries.ORACLES | record_queries.ORACLES

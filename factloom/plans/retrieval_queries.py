@@ -13,7 +13,7 @@ from ..operators import chunking as C
 from ..operators import html as H
 from ..operators import provenance as P
 from ..operators import retrieval as R
-from ..session import table
+from ..session import spread, table
 
 FOLD = "replace(translate(lower({}), 'ſςµ', 'sσμ'), 'ß', 'ss')"
 COS = "list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
@@ -133,13 +133,13 @@ def diverse_sources(spark, d):
 def text_signals(spark, d):
     """S13, S17 to S19, S26 over whole documents: how many of each."""
     t, s = F.col("text"), X.exact_signals(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(s["names"]).alias("names"), F.size(s["numbers"]).alias("numbers"), F.size(s["identifiers"]).alias("identifiers"), F.size(X.statistics(t)).alias("statistics"), F.size(X.quoted_spans(t)).alias("quotes"), X.is_syndicated(t).alias("syndicated"), X.mentions_error(t).alias("error"), F.size(X.significant_terms(t)).alias("terms"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(s["names"]).alias("names"), F.size(s["numbers"]).alias("numbers"), F.size(s["identifiers"]).alias("identifiers"), F.size(X.statistics(t)).alias("statistics"), F.size(X.quoted_spans(t)).alias("quotes"), X.is_syndicated(t).alias("syndicated"), X.mentions_error(t).alias("error"), F.size(X.significant_terms(t)).alias("terms"))
 
 
 def extraction_quality(spark, d):
     """S34, S44, F11."""
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", X.extraction_quality(t, 6).alias("quality"), X.token_estimate(t).alias("tokens"), X.acceptable(t).alias("acceptable"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.extraction_quality(t, 6).alias("quality"), X.token_estimate(t).alias("tokens"), X.acceptable(t).alias("acceptable"))
 
 
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')"
@@ -215,32 +215,32 @@ URL_HOST_COUNTS = f"SELECT array_to_string(string_split(h, '.')[-2:], '.') AS do
 
 def html_documents(spark, d):
     """IO4, IO5, IO8, F12, S35: pages with status, parser, quality and sizes."""
-    p = H.extract(table(spark, d, "pages"))
+    p = H.extract(spread(table(spark, d, "pages")))
     return p.select("page_id", "status", "parser", "quality", "doc.title", F.length("body").alias("body_length"), F.size("doc.links").alias("links"), F.size("doc.blocks").alias("blocks"))
 
 
 def html_blocks(spark, d):
     """IO6: ordered blocks of pages."""
-    p = table(spark, d, "pages").select("page_id", H.html_document("html", "url").alias("doc"))
+    p = spread(table(spark, d, "pages")).select("page_id", H.html_document("html", "url").alias("doc"))
     return p.select("page_id", F.posexplode("doc.blocks").alias("block_no", "b")).select("page_id", "block_no", "b.kind", "b.text", F.array_join("b.heading_path", " > ").alias("heading_path"), "b.position")
 
 
 def html_passages(spark, d):
     """IO6 into G1: passages of pages from their blocks."""
-    p = table(spark, d, "pages").select("page_id", H.html_document("html", "url").alias("doc"))
+    p = spread(table(spark, d, "pages")).select("page_id", H.html_document("html", "url").alias("doc"))
     blocks = F.transform("doc.blocks", lambda b: F.struct(b["kind"].alias("kind"), F.lit(None).cast("int").alias("level"), b["text"].alias("text"), F.lit(None).cast("array<string>").alias("cells"), b["speaker"].alias("speaker"), b["heading_path"].alias("heading_path")))
     return C.passages(p.select("page_id", blocks.alias("blocks")), "page_id", "blocks").select("page_id", "passage_id", "block_index", "part_index", "kind", "heading_path", "text_hash", F.length("text").alias("n_chars"))
 
 
 def passages(spark, d):
     """Passages of documents."""
-    docs = table(spark, d, "documents").select("doc_id", C.body_blocks("text").alias("blocks"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", C.body_blocks("text").alias("blocks"))
     return C.passages(docs, "doc_id", "blocks").select("doc_id", "passage_id", "block_index", "part_index", "kind", "text_hash", F.length("text").alias("n_chars"), "repeated")
 
 
 def lite_chunks(spark, d):
     """IO3, G3, S32, S42: chunks of documents read as Markdown."""
-    docs = table(spark, d, "documents").select("doc_id", C.parse_markdown("text").alias("blocks"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", C.parse_markdown("text").alias("blocks"))
     return C.lite_chunks(docs, "doc_id", "blocks").select("doc_id", "chunk_index", "char_start", "char_end", "units", "overlap", "content_hash", "citation_label")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -13,13 +15,13 @@ from ..operators import provenance as P
 from ..operators import retrieval as R
 from ..operators import runs as RU
 from ..operators import scoring as S
-from ..session import table
+from ..session import spread, table
 from ..streaming import events as EV
 
 
 def _evidence(spark, d):
     """Line items as evidence: discount, tax and quantity as quality signals, flags as stance."""
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
     c = F.col
     stance = F.when(c("l_returnflag") == "A", "strongly_contradicts").when(c("l_returnflag") == "R", "partially_supports").when(c("l_linestatus") == "O", "strongly_supports").otherwise("neutral")
     unit = lambda x: x.cast("decimal(8,6)")
@@ -80,7 +82,7 @@ def claim_scoring(spark, d):
     """Full scoring of each claim (an order's line number)."""
     ev = _evidence(spark, d)
     claims = ev.select("run_id", "claim_ref").distinct().select("run_id", "claim_ref", F.when(F.col("claim_ref") == 1, "essential").otherwise("minor").alias("importance"), F.when(F.col("claim_ref") == 1, 3).otherwise(1).alias("importance_weight"), F.lit(True).alias("checkable"), F.when(F.col("claim_ref") == 2, "attribution").otherwise("factual").alias("claim_kind"), (F.col("claim_ref") == 3).alias("ambiguity_owned"), F.lit(False).alias("has_period"))
-    return S.claim_scores(ev, _multipliers(spark, d), _sources(spark, d), claims)
+    return S.claim_scores(S.by_source(ev, _multipliers(spark, d), _sources(spark, d)), claims)
 
 
 def claim_scores(spark, d):
@@ -88,18 +90,44 @@ def claim_scores(spark, d):
     return s.select("run_id", "claim_ref", F.round("support", 4).alias("support"), F.round("confidence", 4).alias("confidence"), F.round("context", 4).alias("context"), F.round("independence", 4).alias("independence"), "adequate", "label", F.array_join("reasons", ",").alias("reasons"))
 
 
+_CLAIMS = f"""{_EV}, per AS (SELECT run_id, claim_ref, source_ref, sum(CASE WHEN value > 0 THEN CAST(value AS DECIMAL(3,2)) * weight ELSE 0 END) AS up, sum(CASE WHEN value < 0 THEN -CAST(value AS DECIMAL(3,2)) * weight ELSE 0 END) AS down, sum(quality * weight) AS qw, sum(weight) AS w FROM w GROUP BY 1, 2, 3),
+scope AS (SELECT DISTINCT l_orderkey AS run_id, l_linenumber AS claim_ref, l_discount > 0.08 AS omitted FROM lineitem), context AS (SELECT run_id, claim_ref, CASE WHEN bool_or(omitted) THEN 85.0 ELSE 100.0 END AS context FROM scope GROUP BY 1, 2),
+g AS (SELECT run_id, claim_ref, CAST(sum(up) AS DOUBLE) AS p, CAST(sum(down) AS DOUBLE) AS n, 100 * CAST(sum(qw) AS DOUBLE) / nullif(CAST(sum(w) AS DOUBLE), 0) AS quality, least(100, 50 * count(DISTINCT source_ref % 3)) AS o, least(100, 50 * count(*) FILTER (source_ref % 5 = 0)) AS pr, least(100, 50 * count(DISTINCT source_ref % 4)) AS g,
+least(100, 50 * greatest(count(DISTINCT source_ref % 2), count(*) FILTER (source_ref % 2 = 0))) AS m, count(DISTINCT source_ref % 3) AS origins, count(*) AS sources, bool_or(source_ref % 5 = 1) AS own FROM per GROUP BY 1, 2),
+h AS (SELECT *, p + n AS total, CASE WHEN p + n > 0 THEN 100 * p / (p + n) END AS s, CASE WHEN p + n > 0 THEN 100 * abs(p - n) / (p + n) END AS c, 0.40::DOUBLE * o + 0.25::DOUBLE * pr + 0.20::DOUBLE * g + 0.15::DOUBLE * m AS independence, p + n >= 0.5 AS adequate, pr > 0 AS primary_access FROM g JOIN context USING (run_id, claim_ref)),
+k AS (SELECT *, greatest(0, least(100, 0.30::DOUBLE * CASE WHEN adequate THEN 100 ELSE 0 END + 0.25::DOUBLE * coalesce(quality, 0) + 0.20::DOUBLE * independence + 0.15::DOUBLE * coalesce(c, 0) + 0.10::DOUBLE * CASE WHEN primary_access THEN 100 ELSE 0 END - CASE WHEN claim_ref = 3 THEN 10.5 ELSE 0 END - CASE WHEN origins = 1 AND sources > 1 THEN 15 ELSE 0 END)) AS k,
+claim_ref = 3 AND NOT (adequate AND coalesce(s >= 70, false) AND CASE WHEN p > 0 THEN n / p ELSE 1 END <= 0.15) AS unresolved, sources = 1 AND own AS single FROM h),
+scored AS (SELECT *, NOT adequate OR single OR unresolved AS insufficient FROM k)"""
+CLAIM_SCORES = f"""WITH {_CLAIMS} SELECT run_id, claim_ref, round(s, 4) AS support, round(k, 4) AS confidence, round(CAST(context AS DOUBLE), 4) AS context, round(independence, 4) AS independence, adequate,
+CASE WHEN s IS NULL OR k < 35 OR insufficient THEN {_INS} WHEN s >= 70 AND context < 50 THEN 'Technically supported but misleading' ELSE {_SUP} END AS label,
+concat_ws(',', CASE WHEN NOT adequate THEN 'total_adjusted_evidence_below_minimum' END, CASE WHEN single THEN 'single_interested_source_cannot_be_independently_checked' END, CASE WHEN unresolved THEN 'key_definitions_dates_or_identities_unresolved' END) AS reasons FROM scored"""
+
+
 def run_scores(spark, d):
     """A11, A12, A14, A16, M16, M20."""
-    r = S.run_scores(claim_scoring(spark, d), _evidence(spark, d), _multipliers(spark, d), _sources(spark, d))
+    rows = S.by_source(_evidence(spark, d), _multipliers(spark, d), _sources(spark, d))
+    r = S.run_scores(claim_scoring(spark, d), rows)
     return r.select("run_id", F.round("accuracy", 4).alias("accuracy"), F.round("attribution", 4).alias("attribution"), F.round("coverage", 4).alias("coverage"), F.round("confidence", 4).alias("confidence"), "refuted", "label")
 
 
+RUN_SCORES = f"""WITH {_CLAIMS}, a AS (SELECT *, CASE WHEN claim_ref = 1 THEN 3 ELSE 1 END AS iw, claim_ref = 1 AS essential FROM scored),
+r AS (SELECT run_id, sum(s * iw) / nullif(sum(iw) FILTER (s IS NOT NULL), 0) AS accuracy, sum(s * iw) FILTER (claim_ref = 2) / nullif(sum(iw) FILTER (s IS NOT NULL AND claim_ref = 2), 0) AS attribution, CAST(sum(context * iw) AS DOUBLE) / sum(iw) AS context,
+sum(CASE WHEN adequate THEN 100.0::DOUBLE ELSE 0 END * iw) FILTER (essential) / nullif(sum(iw) FILTER (essential), 0) AS ce, sum(CASE WHEN adequate THEN 100.0::DOUBLE ELSE 0 END * iw) / sum(iw) AS ca, bool_or(essential) AS ess, bool_or(essential AND adequate) AS essa,
+coalesce(bool_or(essential AND s <= 10 AND k >= 70), false) AS refuted, bool_or(origins = 1 AND sources > 1) AS one_cluster FROM a GROUP BY 1),
+y AS (SELECT run_id, source_ref, sum(up) AS up, sum(down) AS down, sum(qw) AS qw, sum(w) AS w FROM per GROUP BY 1, 2),
+z AS (SELECT run_id, CAST(sum(up) AS DOUBLE) AS p, CAST(sum(down) AS DOUBLE) AS n, 100 * CAST(sum(qw) AS DOUBLE) / nullif(CAST(sum(w) AS DOUBLE), 0) AS quality, 0.40::DOUBLE * least(100, 50 * count(DISTINCT source_ref % 3)) + 0.25::DOUBLE * least(100, 50 * count(*) FILTER (source_ref % 5 = 0)) + 0.20::DOUBLE * least(100, 50 * count(DISTINCT source_ref % 4))
++ 0.15::DOUBLE * least(100, 50 * greatest(count(DISTINCT source_ref % 2), count(*) FILTER (source_ref % 2 = 0))) AS independence, count(*) FILTER (source_ref % 5 = 0) > 0 AS pr, count(*) = 1 AND bool_or(source_ref % 5 = 1) AS single FROM y GROUP BY 1),
+j AS (SELECT r.*, z.*, coalesce(CASE WHEN ess THEN ce ELSE ca END, 0) AS coverage, p + n AS total, CASE WHEN p + n > 0 THEN 100 * abs(p - n) / (p + n) END AS c FROM r JOIN z USING (run_id)),
+q AS (SELECT *, accuracy AS s, greatest(0, least(100, 0.30::DOUBLE * coverage + 0.25::DOUBLE * coalesce(quality, 0) + 0.20::DOUBLE * independence + 0.15::DOUBLE * coalesce(c, 0) + 0.10::DOUBLE * CASE WHEN pr THEN 100 ELSE 0 END - CASE WHEN one_cluster THEN 15 ELSE 0 END)) AS k, total < 0.5 OR (ess AND NOT essa) OR single AS insufficient FROM j),
+fin AS (SELECT *, CASE WHEN s IS NULL OR k < 35 OR insufficient THEN {_INS} WHEN s >= 70 AND context < 50 THEN 'Technically supported but misleading' ELSE {_SUP} END AS l FROM q)
+SELECT run_id, round(accuracy, 4) AS accuracy, round(attribution, 4) AS attribution, round(coverage, 4) AS coverage, round(k, 4) AS confidence, refuted, CASE WHEN refuted AND l = 'Supported' THEN 'Mostly supported' ELSE l END AS label FROM fin"""
+
+
 def weighted_average(spark, d):
     """A13, A22 by supplier."""
-    li = table(spark, d, "lineitem")
     v, w = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_quantity").cast("decimal(10,2)")
-    g = li.groupBy("l_suppkey").agg(F.sum(v * w).cast("double").alias("a"), F.sum(w).cast("double").alias("b"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count(F.lit(1)).alias("n"))
-    return g.select("l_suppkey", F.round(F.try_divide("a", "b"), 4).alias("mean_price"), L.safe_ratio(F.col("r"), F.col("n")).alias("returned"))
+    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(L.weighted_average(v, w).cast("double").alias("mean"), L.safe_ratio(F.count_if(F.col("l_returnflag") == "R"), F.count(F.lit(1))).alias("returned"))
+    return g.select("l_suppkey", F.round("mean", 4).alias("mean_price"), "returned")
 
 
 WEIGHTED_AVERAGE = "SELECT l_suppkey, round(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_quantity AS DECIMAL(10,2)))::DOUBLE / sum(CAST(l_quantity AS DECIMAL(10,2)))::DOUBLE, 4) AS mean_price, round_even(count(*) FILTER (l_returnflag = 'R') / CAST(count(*) AS DOUBLE), 6) AS returned FROM lineitem GROUP BY 1"
@@ -160,25 +188,27 @@ SELECT round_even(2.0::DOUBLE * count(*) FILTER (e AND p) / (count(*) FILTER (e)
 def _runs(spark, d):
     o = table(spark, d, "orders")
     c = F.col
-    return o.select(c("o_orderkey").alias("id"), c("o_custkey").alias("user_id"), c("o_orderstatus").alias("status"), F.lit("text").alias("input_type"), c("o_orderpriority").alias("research_depth"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("submitted_text"), F.lit(None).cast("string").alias("submitted_url"), F.when(c("o_orderstatus") == "F", "supported").alias("verdict"), F.when(c("o_orderstatus") != "P", F.floor(c("o_totalprice") / 10000).cast("int")).alias("verdict_confidence"), c("o_orderdate").alias("evidence_reviewed_at"), F.when(c("o_orderkey") % 2 == 0, c("o_orderdate")).alias("saved_at"), F.when(c("o_orderkey") % 11 == 0, c("o_orderdate")).alias("deleted_at"), c("o_orderdate").alias("created_at"), c("o_orderdate").alias("updated_at"), F.when(c("o_orderkey") % 97 == 0, "public_demo").otherwise("private").alias("visibility"))
+    return o.select(c("o_orderkey").alias("id"), c("o_custkey").alias("user_id"), F.when(c("o_orderstatus") == "F", "COMPLETED").when(c("o_orderstatus") == "O", "FAILED").otherwise("SCORING").alias("status"), F.lit("text").alias("input_type"), c("o_orderpriority").alias("research_depth"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("submitted_text"), F.lit(None).cast("string").alias("submitted_url"), F.when(c("o_orderstatus") == "F", "supported").alias("verdict"), F.when(c("o_orderstatus") != "P", F.floor(c("o_totalprice") / 10000).cast("int")).alias("verdict_confidence"), c("o_orderdate").alias("evidence_reviewed_at"), F.when(c("o_orderkey") % 2 == 0, c("o_orderdate")).alias("saved_at"), F.when(c("o_orderkey") % 11 == 0, c("o_orderdate")).alias("deleted_at"), c("o_orderdate").alias("created_at"), c("o_orderdate").alias("updated_at"), F.when(c("o_orderkey") % 97 == 0, "public_demo").otherwise("private").alias("visibility"))
 
 
 def history_page(spark, d):
     """The first page of a customer's runs that match a text, most confident first."""
-    return RU.history(_runs(spark, d), 7, "confidence_desc", 1, 20, query="high").select("id", "status", "preview", "verdict", "verdict_confidence")
+    return RU.history(_runs(spark, d).withColumn("user_id", F.col("user_id") % 40), 7, "confidence_desc", 2, 20, query="high").select("id", "status", "preview", "verdict", "verdict_confidence")
 
 
-HISTORY_PAGE = "SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority || ' ' || o_orderstatus AS preview, CASE WHEN o_orderstatus = 'F' THEN 'supported' END AS verdict, CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(o_totalprice / 10000) AS INTEGER) END AS verdict_confidence FROM orders WHERE o_custkey = 7 AND o_orderkey % 11 <> 0 AND (o_orderpriority || ' ' || o_orderstatus) ILIKE '%high%' ORDER BY verdict_confidence DESC NULLS LAST, id LIMIT 20"
+HISTORY_PAGE = "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'FAILED' ELSE 'SCORING' END AS status, o_orderpriority || ' ' || o_orderstatus AS preview, CASE WHEN o_orderstatus = 'F' THEN 'supported' END AS verdict, CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(o_totalprice / 10000) AS INTEGER) END AS verdict_confidence FROM orders WHERE o_custkey % 40 = 7 AND o_orderkey % 11 <> 0 AND (o_orderpriority || ' ' || o_orderstatus) ILIKE '%high%' ORDER BY verdict_confidence DESC NULLS LAST, id LIMIT 20 OFFSET 20"
 
 
 def orphan_rows(spark, d):
-    """J7, DT4: customers since whose orders none is recent, and that have none at all."""
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("snapshot_id"), "o_orderdate")
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("snapshot_id"), F.lit("1990-01-01").cast("timestamp").alias("retrieved_at"))
-    return RU.orphans(c, o.select("snapshot_id"), o.where("o_orderdate >= '2000-01-01'").select("snapshot_id"), F.lit("1995-01-01").cast("timestamp")).select("snapshot_id")
+    """J7, DT4: parts (snapshots) bought before a cutoff that no line of two months refers to, and those that none of large orders does."""
+    li = table(spark, d, "lineitem")
+    parts = table(spark, d, "part").selectExpr("p_partkey AS snapshot_id", "CASE WHEN p_size > 10 THEN timestamp '1990-01-01' ELSE timestamp '2000-01-01' END AS retrieved_at")
+    refs = li.where("l_shipdate >= '1995-01-01' AND l_shipdate < '1995-03-01'").select(F.col("l_partkey").alias("snapshot_id"))
+    done = li.where("l_quantity >= 49").select(F.col("l_partkey").alias("snapshot_id"))
+    return RU.orphans(parts, refs, done, F.lit("1995-01-01").cast("timestamp")).select("snapshot_id")
 
 
-ORPHAN_ROWS = "SELECT c_custkey AS snapshot_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+ORPHAN_ROWS = "SELECT p_partkey AS snapshot_id FROM part WHERE p_size > 10 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate >= '1995-01-01' AND l_shipdate < '1995-03-01') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49)"
 
 
 def authorized_rows(spark, d):
@@ -188,7 +218,7 @@ def authorized_rows(spark, d):
     return RU.authorized(runs, shares, 7, F.lit("1998-06-01").cast("timestamp"), ["report"]).select("id", "user_id", "visibility")
 
 
-AUTHORIZED_ROWS = "SELECT o_orderkey AS id, o_custkey AS user_id, CASE WHEN o_orderkey % 97 = 0 THEN 'public_demo' ELSE 'private' END AS visibility FROM orders WHERE o_custkey = 7 OR (o_orderkey % 13 = 0 AND o_orderkey % 2 = 0 AND o_orderdate + INTERVAL 365 DAYS > TIMESTAMP '1998-06-01') OR (o_orderkey % 97 = 0 AND o_orderstatus = 'COMPLETED' AND o_orderkey % 11 <> 0)"
+AUTHORIZED_ROWS = "SELECT o_orderkey AS id, o_custkey AS user_id, CASE WHEN o_orderkey % 97 = 0 THEN 'public_demo' ELSE 'private' END AS visibility FROM orders WHERE o_custkey = 7 OR (o_orderkey % 13 = 0 AND o_orderkey % 2 = 0 AND o_orderdate + INTERVAL 365 DAYS > TIMESTAMP '1998-06-01') OR (o_orderkey % 97 = 0 AND o_orderstatus = 'F' AND o_orderkey % 11 <> 0)"
 
 
 def report_items(spark, d):
@@ -205,16 +235,29 @@ SELECT o_orderkey AS source_id, CAST(count(li.p) AS INTEGER) AS passages, CAST(c
 
 
 def run_metrics(spark, d):
-    """Metric points of each user as a run, from its events."""
+    """All metric points of each user as a run, from its events."""
     t = lambda x: F.count_if(F.col("event_type") == x)
-    e = table(spark, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.count(F.lit(1)).alias("snapshots"), t("view").alias("fetched"), t("click").alias("extracted"), t("purchase").alias("approved"), t("error").alias("browser"), t("signup").alias("duplicates"), F.median("value").alias("median_latency"), F.sum(F.floor("value")).cast("long").alias("total_tokens"), F.sum(F.floor(F.col("value") / 2)).cast("long").alias("prompt_tokens"))
-    e = e.withColumn("results", F.col("snapshots")).withColumn("cache_hits", F.col("browser")).withColumn("candidates", F.col("snapshots")).withColumn("requests", F.col("snapshots"))
-    return RU.safe_ratio_metrics(e, (0.5, 1.5, 0.01)).where("name in ('extraction_success', 'evidence_yield', 'median_fetch_latency', 'token_usage', 'output_token_usage', 'source_accessibility_failure_rate')").select("run_id", "name", F.round("value", 6).alias("value"), "unit")
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(
+        F.count(F.lit(1)).alias("snapshots"), t("view").alias("fetched"), t("click").alias("extracted"), t("purchase").alias("approved"), t("error").alias("browser"), t("signup").alias("duplicates"),
+        F.median("value").alias("median_latency"), F.sum(F.floor("value")).cast("long").alias("total_tokens"), F.sum(F.floor(F.col("value") / 2)).cast("long").alias("prompt_tokens"),
+        t("click").alias("brave_network_request_count"), t("error").alias("retry_count"), (F.max("event_id") % 2 == 0).alias("citation_failed"), F.avg(F.floor("value")).alias("duration_seconds"),
+    )
+    e = e.withColumns({"results": F.col("snapshots"), "cache_hits": F.col("browser"), "candidates": F.col("snapshots"), "structured_failures": F.create_map(F.lit("content_json"), F.col("browser"))})
+    return RU.run_metric_points(e, (0.5, 1.5, 0.01)).select("run_id", "name", F.round("value", 7).alias("value"), "unit")
 
 
-RUN_METRICS = """WITH e AS (SELECT user_id AS run_id, count(*) AS s, count(*) FILTER (event_type = 'view') AS f, count(*) FILTER (event_type = 'click') AS x, count(*) FILTER (event_type = 'purchase') AS a, median(value) AS m, sum(floor(value)) AS t, sum(floor(value / 2)) AS p FROM events GROUP BY 1),
-u AS (SELECT run_id, unnest([{'name': 'extraction_success', 'value': coalesce(round_even(x / nullif(f, 0)::DOUBLE, 6), 0), 'unit': 'ratio'}, {'name': 'evidence_yield', 'value': coalesce(round_even(a / nullif(f, 0)::DOUBLE, 6), 0), 'unit': 'evidence_per_source'}, {'name': 'median_fetch_latency', 'value': m, 'unit': 'millisecond'}, {'name': 'token_usage', 'value': t, 'unit': 'token'}, {'name': 'output_token_usage', 'value': greatest(t - p, 0), 'unit': 'token'}, {'name': 'source_accessibility_failure_rate', 'value': round_even((s - f) / s::DOUBLE, 6), 'unit': 'ratio'}]) AS m FROM e)
-SELECT run_id, m.name AS name, round(m.value, 6) AS value, m.unit AS unit FROM u"""
+_ZERO = [("brave_query_count", "query"), ("brave_cache_hit_count", "query"), ("brave_phase_two_query_count", "query"), ("brave_gate_expansion_count", "expansion"), ("deepseek_request_count", "request"), ("deepseek_batch_count", "batch"), ("deepseek_repair_count", "repair"), ("deepseek_recovery_count", "recovery_call"), ("deepseek_split_fallback_count", "split_fallback"), ("deepseek_recovery_success_count", "recovered_batch"), ("deepseek_recovery_exhaustion_count", "exhausted_stage"), ("queue_length", "job"), ("cancellation_rate", "ratio")]
+_ZERO += [(f"deepseek_structured_failure_{k}_count", "failure") for k in ("response_json", "choices_envelope", "message_content_type", "usage_metadata", "output_schema")]
+_POINTS = [
+    ("search_to_fetch_conversion", "coalesce(round_even(f / nullif(s, 0)::DOUBLE, 6), 0)", "ratio"), ("extraction_success", "coalesce(round_even(x / nullif(f, 0)::DOUBLE, 6), 0)", "ratio"), ("median_fetch_latency", "m", "millisecond"),
+    ("playwright_fallback_rate", "coalesce(round_even(r / nullif(f, 0)::DOUBLE, 6), 0)", "ratio"), ("cache_hit_rate", "coalesce(round_even(r / nullif(f, 0)::DOUBLE, 6), 0)", "ratio"), ("duplicate_cluster_rate", "round_even(g / s::DOUBLE, 6)", "ratio"),
+    ("evidence_yield", "coalesce(round_even(a / nullif(f, 0)::DOUBLE, 6), 0)", "evidence_per_source"), ("cost_per_verification", "(p * 0.5 + greatest(t - p, 0) * 1.5) / 1000000 + x * 0.01", "currency_usd"), ("deepseek_token_usage", "t", "token"), ("deepseek_input_token_usage", "p", "token"),
+    ("deepseek_output_token_usage", "greatest(t - p, 0)", "token"), ("source_accessibility_failure_rate", "round_even((s - f) / s::DOUBLE, 6)", "ratio"), ("citation_audit_failure_rate", "CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END", "ratio"),
+    ("run_duration", "round_even(v, 6)", "second"), ("brave_network_request_count", "x", "request"), ("retry_count", "r", "retry"), ("deepseek_structured_failure_content_json_count", "r", "failure"), *[(n, "0", u) for n, u in _ZERO],
+]
+RUN_METRICS = f"""WITH e AS (SELECT user_id AS run_id, count(*) AS s, count(*) FILTER (event_type = 'view') AS f, count(*) FILTER (event_type = 'click') AS x, count(*) FILTER (event_type = 'purchase') AS a, count(*) FILTER (event_type = 'error') AS r, count(*) FILTER (event_type = 'signup') AS g,
+median(value) AS m, sum(floor(value)) AS t, sum(floor(value / 2)) AS p, max(event_id) AS i, avg(floor(value)) AS v FROM events GROUP BY 1),
+u AS (SELECT run_id, unnest([{", ".join(f"{{'name': '{n}', 'value': CAST({v} AS DOUBLE), 'unit': '{u}'}}" for n, v, u in _POINTS)}]) AS m FROM e) SELECT run_id, m.name AS name, round(m.value, 7) AS value, m.unit AS unit FROM u"""
 
 
 def event_rate_fixed(spark, d):
@@ -223,12 +266,22 @@ def event_rate_fixed(spark, d):
     return EV.rate_limited(e, "user_id", "us", 10, 3600e6)
 
 
+EVENT_RATE_FIXED = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts)::DOUBLE AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+w AS (SELECT user_id, us, n, us AS opened, 1 AS k FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.us, e.n, CASE WHEN e.us >= opened + 3600e6 THEN e.us ELSE opened END, CASE WHEN e.us >= opened + 3600e6 THEN 1 ELSE k + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id, us, k <= 10 AS allowed FROM w"""
+
+
 def event_rate_sliding(spark, d):
     """ST8: eight allowed events in any 6 hours for each user."""
     e = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
     return EV.rate_limited(e, "user_id", "us", 8, 6 * 3600e6, sliding=True)
 
 
+EVENT_RATE_SLIDING = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts)::DOUBLE AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+w AS (SELECT user_id, us, n, [us] AS log, true AS allowed FROM e WHERE n = 1 UNION ALL SELECT user_id, us, n, CASE WHEN len(log) < 8 THEN list_append(log, us) ELSE log END, len(log) < 8 FROM (SELECT e.user_id, e.us, e.n, list_filter(w.log, lambda x: x > e.us - 6 * 3600e6) AS log FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT user_id, us, allowed FROM w"""
+
+
 def event_trailing_count(spark, d):
     """ST8 as a plain trailing count: events of the user in the last hour."""
     return EV.trailing_count(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", F.col("ts").cast("timestamp"), 3600).select("event_id", "recent")
@@ -256,6 +309,9 @@ def event_monotone(spark, d):
 EVENT_MONOTONE = "SELECT user_id, event_id, event_type FROM events"
 
 
+_STAGE_OF = {t: zlib.crc32(t.encode()) % 5 for t in ("view", "click", "purchase", "error", "signup")}
+
+
 def event_transitions(spark, d):
     """F10, ST9: events that move a user's status backward or follow a terminal one."""
     stage = F.element_at(F.array(*[F.lit(x) for x in ("QUEUED", "VALIDATING", "RESEARCHING", "SCORING", "COMPLETED")]), (F.crc32(F.col("event_type").cast("binary")) % 5 + 1).cast("int"))
@@ -263,6 +319,11 @@ def event_transitions(spark, d):
     return RU.transition_violations(e)
 
 
+EVENT_TRANSITIONS = f"""WITH t AS (SELECT DISTINCT event_type FROM events), e AS (SELECT user_id AS run_id, event_id AS sequence, (CASE event_type {" ".join(f"WHEN '{t}' THEN {n}" for t, n in _STAGE_OF.items())} END) AS s FROM events),
+k AS (SELECT *, [0, 1, 3, 6, 9][s + 1] AS place, max([0, 1, 3, 6, 9][s + 1]) OVER w AS highest, bool_or(s = 4) OVER w AS ended FROM e WINDOW w AS (PARTITION BY run_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT run_id, sequence, ['QUEUED', 'VALIDATING', 'RESEARCHING', 'SCORING', 'COMPLETED'][s + 1] AS stage, CASE WHEN ended THEN 'TERMINAL' ELSE 'BACKWARD' END AS reason FROM k WHERE ended OR place < highest"""
+
+
 def event_windows(spark, d):
     """Extra: tumbling hours by type, as a stream would aggregate them under a watermark."""
     e = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(12,2)")).cast("double").alias("value"))
@@ -274,13 +335,17 @@ EVENT_WINDOWS = "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS
 
 def numeric_audit(spark, d):
     """Claimed unit prices of line items, recomputed exactly."""
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"))
     x = lambda role, v: F.struct(F.lit(role).alias("role"), v.cast("string").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("period"))
     inputs = F.array(x("numerator", F.col("l_extendedprice").cast("decimal(12,2)")), x("denominator", F.col("l_quantity").cast("decimal(10,0)")))
     c = li.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, "percentage").otherwise("ratio").alias("operation"), inputs.alias("inputs"), F.lit(None).cast("string").alias("output_unit"), F.lit(None).cast("string").alias("claimed_value"), F.lit("0.0001").alias("quantum"), F.lit("ROUND_HALF_UP").alias("mode"))
     return N.audit(c).select("l_orderkey", "l_linenumber", "status", F.col("value").cast("decimal(20,4)").cast("double").alias("value"), F.col("unit"))
 
 
+NUMERIC_AUDIT = """WITH n AS (SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * 100 AS HUGEINT) * CASE WHEN l_linenumber % 2 = 0 THEN 100 ELSE 1 END * 100 AS top, CAST(l_quantity AS HUGEINT) AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN q = 0 THEN 'zero_denominator' ELSE 'passed' END AS status, CAST((2 * top + q) // (2 * q) AS DOUBLE) / 10000 AS value, CASE WHEN l_linenumber % 2 = 0 THEN '%' ELSE 'ratio' END AS unit FROM n"""
+
+
 def expectations(spark, d):
     """Rule violations in line items, by rule."""
     c = F.col
@@ -313,12 +378,19 @@ def initial_queries(spark, d):
 
 
 def latest_rows(spark, d):
-    """W2, W5, W11, A40, IO15: each customer's latest order, and its number among them."""
-    o = table(spark, d, "orders")
-    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"), F.count(F.lit(1)).alias("version_number"))
+    """W2, W5, W11, A18, A40, IO15: each customer's latest order, best order, latest terminal one, and the number its next would have."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    last = RU.latest_per(o.select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("at"), F.col("o_orderkey").alias("latest")), ["o_custkey"], "at").drop("at")
+    best = R.best_of(o, ["o_custkey"], F.col("o_totalprice"), F.col("o_orderkey")).select("o_custkey", F.col("o_orderkey").alias("best"))
+    ended = o.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("sequence"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("SCORING").alias("stage"), F.col("o_orderdate").alias("created_at"))
+    ended = RU.latest_terminal(ended).select(F.col("run_id").alias("o_custkey"), F.col("created_at").cast("string").alias("ended"))
+    stored = o.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("version_number"))
+    new = RU.next_versions(o.where("o_orderkey % 2 = 1"), stored, "o_custkey", ["o_orderkey"]).groupBy("o_custkey").agg(F.max("version_number").alias("top"))
+    return last.join(best, "o_custkey").join(ended, "o_custkey", "left").join(new, "o_custkey", "left")
 
 
-LATEST_ROWS = "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest, count(*) AS version_number FROM orders GROUP BY 1"
+LATEST_ROWS = """SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best, CAST(arg_max(o_orderdate, o_orderkey) FILTER (o_orderstatus = 'F') AS VARCHAR) AS ended,
+CASE WHEN count(*) FILTER (o_orderkey % 2 = 1) > 0 THEN count(*) END AS top FROM orders GROUP BY 1"""
 
 
 def stance_groups(spark, d):
@@ -344,5 +416,5 @@ QUERIES = {f.__name__: f for f in (evidence_balance, verdict_label, claim_scores
 ORACLES = {
     "evidence_balance": EVIDENCE_BALANCE, "verdict_label": VERDICT_LABEL, "weighted_average": WEIGHTED_AVERAGE, "dependency_multiplier": DEPENDENCY_MULTIPLIER, "evaluation_metrics": EVALUATION_METRICS, "latency_p95": LATENCY_P95, "cluster_f1": CLUSTER_F1,
     "history_page": HISTORY_PAGE, "orphan_rows": ORPHAN_ROWS, "authorized_rows": AUTHORIZED_ROWS, "report_items": REPORT_ITEMS, "run_metrics": RUN_METRICS, "event_trailing_count": EVENT_TRAILING_COUNT, "events_after_cursor": EVENTS_AFTER_CURSOR, "event_monotone": EVENT_MONOTONE,
-    "event_windows": EVENT_WINDOWS, "expectations": EXPECTATIONS, "running_signals": RUNNING_SIGNALS, "latest_rows": LATEST_ROWS, "stance_groups": STANCE_GROUPS, "coverage_gaps": COVERAGE_GAPS,
+    "event_windows": EVENT_WINDOWS, "expectations": EXPECTATIONS, "running_signals": RUNNING_SIGNALS, "latest_rows": LATEST_ROWS, "stance_groups": STANCE_GROUPS, "claim_scores": CLAIM_SCORES, "run_scores": RUN_SCORES, "numeric_audit": NUMERIC_AUDIT, "event_rate_fixed": EVENT_RATE_FIXED, "event_rate_sliding": EVENT_RATE_SLIDING, "event_transitions": EVENT_TRANSITIONS, "coverage_gaps": COVERAGE_GAPS,
 }

@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for row work that outweighs a shuffle: a scan of fewer partitions than there are cores is dealt out over them. A large
+    table's scan has more, and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the Python workers this package, once for each application: nothing needs to be installed on a cluster."""
     import shutil

@@ -60,10 +60,12 @@ def cached(df: DataFrame, path: str) -> DataFrame:
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """IO15: stored and new rows, the latest of each key."""
-    both = stored.unionByName(new, allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in keys]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(at)).alias("r")).select(*keys, "r.*")
+    """IO15: stored and new rows, the latest of each key. A null time is the earliest; of equal times the new row wins, then the
+    one with the larger hash."""
+    both = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (*keys, "__new")]
+    last = F.struct(F.col(at).isNotNull(), F.col(at), F.col("__new"), F.xxhash64(*rest))
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), last).alias("r")).select(*keys, "r.*")
 
 
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
@@ -105,6 +107,31 @@ def dataset_violations(cases: DataFrame, required: list[str], splits: list[str])
     return cases.select("id", F.explode(F.filter(codes, lambda x: x.isNotNull())).alias("code"))
 
 
+#: First bytes of executables and archives, and the extensions of allowed uploads.
+SIGNATURES = ["4D5A", "7F454C46", "504B0304", "2321", "FEEDFACE", "CFFAEDFE"]
+UPLOADS = {"application/pdf": [".pdf"], "text/plain": [".txt"]}
+
+
+def upload_error(name: Column, content_type: Column, body: Column, most: int) -> Column:
+    """why an upload is refused, null if it isn't. body: binary."""
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    bad_name = F.coalesce(name, F.lit("")).isin("", ".", "..") | name.rlike(r"[/\\\x00-\x1f\x7f]") | (F.length(name) > 255)
+    suffix = F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
+    wrong = F.lit(False)
+    for k, allowed in UPLOADS.items():
+        wrong = wrong | ((kind == k) & ~suffix.isin(allowed))
+    signed = F.lit(False)
+    for x in SIGNATURES:
+        signed = signed | F.startswith(F.hex(F.substring(body, 1, 4)), F.lit(x))
+    text = F.try_validate_utf8(body.cast("string"))
+    return (
+        F.when(bad_name, "Upload filename is invalid").when(~kind.isin(list(UPLOADS)), "Upload content type is not supported").when(wrong, "Upload extension does not match its content type")
+        .when(F.coalesce(F.octet_length(body), F.lit(0)) == 0, "Upload is empty").when(F.octet_length(body) > most, "Upload exceeds the configured size limit")
+        .when(signed, "Executable or archive uploads are not supported").when((kind == "application/pdf") & (F.hex(F.substring(body, 1, 5)) != "255044462D"), "PDF signature does not match its content type")
+        .when((kind == "text/plain") & text.isNull(), "Plain-text uploads must be valid UTF-8").when((kind == "text/plain") & text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), "Binary control characters are not supported as text")
+    )
+
+
 def snapshot_status(code: Column, content_type: Column, size: Column, limit: int = 10_000_000) -> Column:
     """IO11: what remains of a fetch once it is a row."""
     return F.when(size > limit, "TOO_LARGE").when(code.between(200, 299), "FETCHED").otherwise("FETCH_FAILED")

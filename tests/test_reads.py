@@ -132,6 +132,28 @@ def test_versions_and_coverage(spark):
     assert p == {"a": "DUPLICATE", "b": "UNKNOWN", "c": "MISSING"}
 
 
-@pytest.mark.parametrize(("kind", "text", "url", "status"), [("text", " ", None, "EMPTY_TEXT"), ("url", "x", "ftp://a", "INVALID_URL"), ("url", "x", "https://a.org", "ACCEPTED")])
-def test_intake(spark, kind, text, url, status):
-    assert spark.range(1).select(PO.intake_status(F.lit(kind), F.lit(text), F.lit(url).cast("string"), F.lit("t"))).first()[0] == status
+@pytest.mark.parametrize(("kind", "text", "submitted", "status"), [("text", " ", None, "INVALID_NORMALIZED_INPUT"), ("article_url", "x", "ftp://a", "INVALID_NORMALIZED_URL"), ("article_url", "x", " https://a.org", "ACCEPTED"), ("article_title", "x", "  ", "INVALID_ARTICLE_TITLE")])
+def test_intake(spark, kind, text, submitted, status):
+    given = [F.lit(x).cast("string") for x in (None, kind, text, submitted)]
+    assert spark.range(1).select(PO.intake_status(*given)).first()[0] == status
+
+
+def test_private_keys_at_any_depth(spark):
+    rows = [('{"raw_prompt": 1}', True), ('{"a": [{"b": {"Internal-Reasoning ": 2}}]}', True), ('{"\\u0070rompt": 1}', True), ('{"a": "\\"prompt\\": x"}', False), ('{"api_key": 1}', False), (None, None)]
+    df = spark.createDataFrame(rows, "payload string, want boolean")
+    assert [r["private"] for r in df.select(RU.is_private_payload(F.col("payload")).alias("private")).collect()] == [w for _, w in rows]
+
+
+def test_a_null_time_keeps_the_row(spark):
+    df = spark.createDataFrame([("a", None, "x"), ("b", 1, "y"), ("b", None, "z")], "k string, at int, v string")
+    assert sorted((r["k"], r["v"]) for r in RU.latest_per(df, ["k"], "at").collect()) == [("a", "x"), ("b", "y")]
+    assert sorted((r["k"], r["v"]) for r in C.upsert(df, df.where("v = 'y'"), ["k"], "at").collect()) == [("a", "x"), ("b", "y")]
+
+
+def test_cycles_and_owners_of_decompositions(spark):
+    claims = [("r", i, f"c{i}", None, (i + 1) % 30) for i in range(30)] + [("s", 0, "a", "x", None), ("s", 1, "A ", "gone", 5)]
+    c = spark.createDataFrame(claims, "run_id string, claim_no int, text string, span string, parent_no int")
+    runs = spark.createDataFrame([("r", "DEEP", "x"), ("s", "QUICK", "xx")], "run_id string, depth string, input_text string")
+    owners = spark.createDataFrame([("s", 2, "t"), ("s", 1, "t")], "run_id string, owner_no int, text string")
+    got = {(r["run_id"], r["code"].removeprefix("DECOMPOSITION_")): r["n"] for r in PO.decomposition_violations(c, runs, owners).collect()}
+    assert got == {("r", "CLAIM_CYCLE"): 30, ("s", "DUPLICATE_CLAIM"): 1, ("s", "INVALID_ORIGINAL_TEXT_SPAN"): 1, ("s", "PARENT_INDEX_INVALID"): 1, ("s", "AMBIGUITY_OWNER_INDEX_INVALID"): 1}
