@@ -341,7 +341,7 @@ def repeated_spans(docs: DataFrame, law: Law, block: int = 20_000) -> DataFrame:
     cut = materialize(cut, "cut")
     blocks = max(1, -(-cut.count() // block))
     groups, equal = _grouped(cut, law, block)
-    found = groups.withColumn("block", F.pmod("g", F.lit(blocks))).groupBy("block").applyInPandas(_block(law), "a long, g1 long, g2 long, k1 long, k2 long, s long, c long, lo int, hi int")
+    found = groups.withColumn("block", F.pmod("g", F.lit(blocks))).repartition(max(blocks, 2), "block").groupBy("block").applyInPandas(_block(law), "a long, g1 long, g2 long, k1 long, k2 long, s long, c long, lo int, hi int")
     found = materialize(found.unionByName(equal.select(*key, "k1", "k2", "s", "c", (F.col("o") - F.col("lo")).alias("lo"), (F.col("o") - F.col("lo") + 1).alias("hi"))), "found")
     # a segment's copies take its result; those of hot ones stay where they are
     runs = each.where("whole").select(*key, "c", F.lit(0).alias("lo"), F.col("n").alias("hi"))
