@@ -199,26 +199,32 @@ def _pack(size: int, base: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, group: int = 100_000, rounds: int = 3) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. group: pieces in a partition, about; rounds:
-    packings at most (the first and the exchanges)."""
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, group: int = 100_000) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. group: pieces in a partition, about. Partitions
+    with a gap exchange pieces until their bounds certify all, or an exchange saves no bin."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rest = materialize(docs.mapInArrow(_pieces(tokenizer, size), _PIECE), "pieces")
-    done, key = None, F.monotonically_increasing_id()  # places in written files: repeated rows part, and a task that runs again deals alike
-    for r in range(rounds):
-        left = rest.count()
-        if r and not left:
-            break
-        parts = max(1, math.ceil(left / group))
+    bins = lambda df: df.select("sequence_id").distinct().count()
+    done, key, r, before = None, F.monotonically_increasing_id(), 0, None  # places in written files: repeated rows part, and a task that runs again deals alike
+    while True:
+        parts = max(1, math.ceil(rest.count() / group))
         dealt = rest.withColumn("part", F.pmod(F.xxhash64(key, F.lit(r)), F.lit(parts)).cast("int"))
-        packed = materialize(dealt.groupBy("part").applyInPandas(_pack(size, r << 56), _PIECE + ", sequence_id long, offset long, open boolean"), "packed")
-        more = r + 1 < rounds and parts > 1
-        closed = (packed.where("not open") if more else packed).drop("open")
+        packed = materialize(dealt.groupBy("part").applyInPandas(_pack(size, r << 48), _PIECE + ", sequence_id long, offset long, open boolean"), "packed")
+        rest = packed.where("open").drop("open")
+        last = parts == 1 or rest.isEmpty() or (before is not None and bins(packed) >= before)
+        closed = (packed if last else packed.where("not open")).drop("open")
         done = closed if done is None else done.unionByName(closed)
-        if not more:
-            break
-        rest, key = packed.where("open").drop("open"), F.col("sequence_id")
-    return done
+        if last:
+            return done
+        before, key, r = bins(rest), F.col("sequence_id"), r + 1
+
+
+def certificate(packed: DataFrame, size: int = 2048) -> tuple[int, int]:
+    """The number of sequences, and the bound that no packing of the pieces beats."""
+    n = np.zeros(size + 1, np.int64)
+    for length, count in packed.groupBy("length").count().collect():  # a row for each length
+        n[length] = count
+    return packed.select("sequence_id").distinct().count(), lower_bound(n, size)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
