@@ -149,8 +149,11 @@ class ByteCnn:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> ByteCnn:
-    sample = labelled_sample(docs, labels, "quality", bound, balanced=True).where(F.octet_length("text") <= LONGEST)
-    rows = sample.orderBy("doc_id").toPandas()  # `bound` rows of LONGEST bytes at most
+    sample = labelled_sample(docs, labels, "quality", bound, balanced=True)
+    # a longer text is learnt by a window of it, anywhere in it
+    place, wide = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - LONGEST // 4, F.lit(1))) + 1, F.lit(LONGEST // 4)
+    window = F.when(F.octet_length("text") <= LONGEST, F.col("text")).otherwise(F.substr("text", place.cast("int"), wide))
+    rows = sample.withColumn("text", window).orderBy("doc_id").toPandas()  # `bound` rows of LONGEST bytes at most
     if not len(rows):
         return ByteCnn()
     return ByteCnn().fit([x.encode() for x in rows["text"]], rows["label"].to_numpy().astype(np.float32))
