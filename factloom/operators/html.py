@@ -7,6 +7,7 @@ outside the engine; pages that would need them get a status.
 
 from __future__ import annotations
 
+import itertools
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -32,10 +33,10 @@ DOCUMENT = f"struct<body: string, title: string, author: string, publisher: stri
 
 
 class Node:
-    __slots__ = ("name", "attrs", "children", "parent")
+    __slots__ = ("name", "attrs", "children", "parent", "known")
 
     def __init__(self, name, attrs=(), parent=None):
-        self.name, self.attrs, self.children, self.parent = name, dict(attrs), [], parent
+        self.name, self.attrs, self.children, self.parent, self.known = name, dict(attrs), [], parent, None
 
     def all(self, names=None):
         """Elements below, in document order, without dropped ones."""
@@ -48,7 +49,19 @@ class Node:
                 yield n
             stack += [c for c in reversed(n.children) if isinstance(c, Node)]
 
+    def outermost(self, names):
+        """Elements of these names below, in document order, without those inside another of them."""
+        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while stack:
+            n = stack.pop()
+            if n.name in names:
+                yield n
+            elif n.name not in DROPPED:
+                stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+
     def text(self) -> str:
+        if self.known is not None:
+            return self.known
         parts, stack = [], [self]
         while stack:
             n = stack.pop()
@@ -57,15 +70,8 @@ class Node:
                     parts.append(t)
             elif n.name not in DROPPED:
                 stack += list(reversed(n.children))
-        return tidy(" ".join(parts))
-
-    def inside(self, names) -> bool:
-        p = self.parent
-        while p is not None:
-            if p.name in names:
-                return True
-            p = p.parent
-        return False
+        self.known = tidy(" ".join(parts))
+        return self.known
 
 
 class Tree(HTMLParser):
@@ -105,37 +111,36 @@ def _cells(row: Node) -> list[str]:
     return [c.text() for c in row.all({"th", "td"})]
 
 
-def structured_blocks(root: Node) -> list[dict]:
-    """IO6: headings with their path, table rows named by their header, turns, quotes and paragraphs."""
-    out, path, paragraphs, tables = [], [], 0, 0
-
-    def add(kind, text, position, paragraph=None, speaker=None, ref=None):
-        out.append({"kind": kind, "text": text, "heading_path": [p for p in path if p], "position": position, "paragraph_index": paragraph, "speaker": speaker, "table_ref": ref})
-
-    for node in root.all(STRUCTURE):
-        if node.inside(STRUCTURE):
-            continue
+def _entries(root: Node):
+    """The structure of a page, flat: (kind, place, text); place: the level of a heading, table and row of a row."""
+    tables = itertools.count(1)
+    for node in root.outermost(STRUCTURE):
         if node.name == "table":
-            tables += 1
-            rows = [_cells(r) for r in node.all({"tr"})]
-            head = rows[0] if rows else []
+            t, rows = next(tables), [_cells(r) for r in node.all({"tr"})]
             for i, cells in enumerate(rows, 1):
                 if any(cells):
-                    named = i > 1 and head and len(head) == len(cells)
-                    text = " | ".join(f"{h}: {v}" if h else v for h, v in zip(head, cells, strict=True)) if named else " | ".join(cells)
-                    add("table_row", text, f"table {tables}, row {i}", ref=f"table {tables} row {i}")
-            continue
-        if not (text := node.text()):
-            continue
-        if node.name[0] == "h" and node.name[1:].isdigit():
-            level = int(node.name[1])
-            path[:] = (path + [""] * 6)[: level - 1] + [text]
-            add("heading", text, f"heading {len(out) + 1}")
+                    named = i > 1 and rows[0] and len(rows[0]) == len(cells)
+                    yield "table_row", (t, i), " | ".join(f"{h}: {v}" if h else v for h, v in zip(rows[0], cells, strict=True)) if named else " | ".join(cells)
+        elif text := node.text():
+            level = node.name[1:] if node.name[0] == "h" else ""
+            yield ("heading", int(level), text) if level.isdigit() else ("quote" if node.name == "blockquote" else "paragraph", None, text)
+
+
+def structured_blocks(root: Node) -> list[dict]:
+    """IO6: headings with their path, table rows named by their header, turns, quotes and paragraphs."""
+    out, path, paragraphs = [], {}, itertools.count(1)
+    for kind, place, text in _entries(root):
+        block = {"kind": kind, "text": text, "paragraph_index": None, "speaker": None, "table_ref": None}
+        if kind == "heading":
+            path = {level: t for level, t in path.items() if level < place} | {place: text}
+            block["position"] = f"heading {len(out) + 1}"
+        elif kind == "table_row":
+            block |= {"position": f"table {place[0]}, row {place[1]}", "table_ref": f"table {place[0]} row {place[1]}"}
         else:
-            paragraphs += 1
-            m = _SPEAKER.match(text)
-            kind = "transcript_turn" if m else "quote" if node.name == "blockquote" else "paragraph"
-            add(kind, text, f"paragraph {paragraphs}", paragraphs, m[1] if m else None)
+            turn = _SPEAKER.match(text)
+            n = next(paragraphs)
+            block |= {"kind": "transcript_turn" if turn else kind, "position": f"paragraph {n}", "paragraph_index": n, "speaker": turn[1] if turn else None}
+        out.append(block | {"heading_path": list(path.values())})
     return out
 
 
@@ -143,35 +148,38 @@ def parse_page(html: str | None, url: str | None) -> dict | None:
     """IO5: the article's, else the main part's, else the body's text; null without any of them."""
     if html is None:
         return None
-    top = Tree(html).root
-    first = lambda name: next(top.all({name}), None)
-    root = first("article") or first("main") or first("body")
+    top = list(Tree(html).root.all())
+    by_name = {}
+    for n in top:
+        by_name.setdefault(n.name, []).append(n)
+    root = next((by_name[name][0] for name in ("article", "main", "body") if name in by_name), None)
     if root is None:
         return None
     meta = {}
-    for m in top.all({"meta"}):
+    for m in by_name.get("meta", ()):
         for attr in ("property", "name"):
             if m.attrs.get(attr) and m.attrs.get("content"):
                 meta.setdefault(m.attrs[attr], m.attrs["content"])
-    blocks = [b for n in root.all(TEXT_BLOCKS) if (b := n.text())]
-    title = first("title")
-    widths = [[len(c) for r in t.all({"tr"}) if (c := _cells(r))] for t in root.all({"table"})]
-    links = [urljoin(url or "", a.attrs["href"]) for a in root.all({"a"}) if a.attrs.get("href") and not a.attrs["href"].startswith(("#", "javascript:", "mailto:"))]
-    rows = ["\n".join(" | ".join(c) for r in t.all({"tr"}) if (c := _cells(r))) for t in root.all({"table"})]
+    below = list(root.all())
+    of = lambda *names: [n for n in below if n.name in names]
+    blocks = [t for n in below if n.name in TEXT_BLOCKS and (t := n.text())]
+    tables = [[c for r in t.all({"tr"}) if (c := _cells(r))] for t in of("table")]
+    links = [urljoin(url or "", a.attrs["href"]) for a in of("a") if a.attrs.get("href") and not a.attrs["href"].startswith(("#", "javascript:", "mailto:"))]
+    rows = ["\n".join(" | ".join(c) for c in t) for t in tables]
     return {
         "body": "\n\n".join(dict.fromkeys(blocks)),
-        "title": meta.get("og:title") or (title.text() if title else None),
+        "title": meta.get("og:title") or (by_name["title"][0].text() if "title" in by_name else None),
         "author": meta.get("author"),
         "publisher": meta.get("og:site_name"),
         "published_at": meta.get("article:published_time"),
         "updated_at": meta.get("article:modified_time"),
-        "headings": [n.text() for n in root.all({"h1", "h2", "h3"})],
+        "headings": [n.text() for n in of("h1", "h2", "h3")],
         "tables": [t for t in rows if t],
-        "quotes": [n.text() for n in root.all({"blockquote"})],
+        "quotes": [n.text() for n in of("blockquote")],
         "corrections": [b for b in blocks if any(w in b.casefold() for w in ("correction", "retraction", "editor's note"))],
         "links": list(dict.fromkeys(links)),
-        "hidden": sum("hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(n.attrs.get("style") or "")) for n in top.all()),
-        "malformed_tables": sum(len(set(w)) > 1 for w in widths),
+        "hidden": sum("hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(n.attrs.get("style") or "")) for n in top),
+        "malformed_tables": sum(len({len(c) for c in t}) > 1 for t in tables),
         "blocks": structured_blocks(root),
     }
 
@@ -196,12 +204,12 @@ def precise_body(doc: Column) -> Column:
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """IO8: pages with doc (the structural parse, its body the precise one where that is acceptable), quality and status."""
-    p = pages.withColumn("doc", html_document(html, url))
-    precise = precise_body(F.col("doc"))
-    p = p.withColumn("precise", F.when(X.acceptable(precise), precise)).withColumn("body", F.coalesce("precise", F.when(X.acceptable(F.col("doc.body")), F.col("doc.body"))))
+    p = pages.withColumn("doc", html_document(html, url)).withColumn("precise", precise_body(F.col("doc")))
+    p = p.withColumn("precise", F.when(X.acceptable(F.col("precise")), F.col("precise")))
+    p = p.withColumn("body", F.coalesce("precise", F.when(X.acceptable(F.col("doc.body")), F.col("doc.body")))).withColumn("lines", X.lines_of(F.col("body")))
     status = F.when(F.col("body").isNotNull(), "FETCHED").otherwise(F.coalesce(X.access_barrier(F.col(html)), F.lit("EXTRACTION_FAILED")))
-    quality = X.extraction_assessment(F.col("body"), F.col("doc.title"), F.array().cast("array<string>"), X.extraction_quality(F.col("body")), F.col("doc.malformed_tables"))
-    return p.withColumn("status", status).withColumn("quality", F.when(F.col("body").isNotNull(), quality)).withColumn("parser", F.when(F.col("precise").isNotNull(), "precise").when(F.col("body").isNotNull(), "structural")).drop("precise")
+    quality = X.extraction_assessment(F.col("body"), F.col("doc.title"), F.array().cast("array<string>"), X.extraction_quality(F.col("body"), lines=F.col("lines")), F.col("doc.malformed_tables"), F.col("lines"))
+    return p.withColumn("status", status).withColumn("quality", F.when(F.col("body").isNotNull(), quality)).withColumn("parser", F.when(F.col("precise").isNotNull(), "precise").when(F.col("body").isNotNull(), "structural")).drop("precise", "lines")
 
 
 #: Media types that are read, the most bytes of each kind, and first bytes of executables and archives.

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 from ..functions import vectors as V
@@ -53,17 +56,94 @@ def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     return each.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
 
 
-def lexical_scores(claims: DataFrame, passages: DataFrame, claim: tuple[str, str], passage: tuple[str, str]) -> DataFrame:
-    """S1 for all claims and passages that share a token: (claim key, passage key, lexical). An equi-join on tokens, where
-    rare ones meet few rows; no pair without a common token is made."""
+#: Claims whose tokens travel to all workers, and their tokens, at most; beyond, claims and passages meet by an equi-join.
+MOST_CLAIMS, MOST_TOKENS = 2_000, 200_000
+
+
+def _term_scores(claims: DataFrame, passages: DataFrame, ck: str, pk: str, top: int | None, wanted: DataFrame | None) -> DataFrame | None:
+    """(ck, pk, score): the share of a claim's terms, as often as they stand there, that a passage has; tables of (key, terms array).
+    Few claims are checked in the passages' own tasks, by products of 0/1 matrices, which give top entries of each claim alone (all
+    pairs above 0 without top) and the wanted pairs. None for more claims."""
+    rows = claims.select(ck, "terms").limit(MOST_CLAIMS + 1).collect()
+    if len(rows) > MOST_CLAIMS or sum(len(r["terms"] or ()) for r in rows) > MOST_TOKENS:
+        return None
+    keys = [r[ck] for r in rows]
+    vocabulary = sorted({t for r in rows for t in r["terms"] or ()})
+    place = {t: i for i, t in enumerate(vocabulary)}
+    q = np.zeros((len(rows), len(vocabulary)), np.float32)
+    for i, r in enumerate(rows):
+        for t in r["terms"] or ():
+            q[i, place[t]] += 1
+    total = np.array([len(r["terms"] or ()) for r in rows], float)
+    levels = [(np.flatnonzero((q >= n).any(axis=0)), n) for n in range(1, int(q.max(initial=0)) + 1)]
+    levels = [(cols, n, np.ascontiguousarray((q[:, cols] >= n).T.astype(np.float32))) for cols, n in levels]
+    at, asked, key_type = {k: i for i, k in enumerate(keys)}, wanted is not None, to_arrow_type(claims.schema[ck].dataType)
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(np.argsort(ids, kind="stable"))
+            lists = b.column(1)
+            found = pc.index_in(lists.flatten(), pa.array(vocabulary, pa.string())).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            known = ~np.isnan(found) if found.dtype.kind == "f" else np.ones(len(found), bool)
+            row, found = row[known], found[known].astype(np.int64)
+            best_s, best_i = np.zeros((len(keys), 0)), np.zeros((len(keys), 0), np.int64)
+            c_out, p_out, s_out = [], [], []
+            for first in range(0, len(ids), 512):
+                n = min(512, len(ids) - first)
+                lo, hi = np.searchsorted(row, (first, first + n))
+                d = np.zeros((n, len(vocabulary)), np.float32)
+                np.add.at(d, (row[lo:hi] - first, found[lo:hi]), 1)
+                hit = np.zeros((n, len(keys)), np.float32)
+                for cols, least, wide in levels:
+                    hit += (d[:, cols] >= least).astype(np.float32) @ wide
+                score = np.divide(hit, total[None, :], out=np.zeros(hit.shape), where=total > 0).T
+                if top is None:
+                    c, p = np.nonzero(score)
+                    c_out.append(c), p_out.append(p + first), s_out.append(score[c, p])
+                else:
+                    best_s = np.concatenate((best_s, score), axis=1)
+                    best_i = np.concatenate((best_i, np.broadcast_to(np.arange(first, first + n), score.shape)), axis=1)
+                    if best_s.shape[1] > top:
+                        keep = np.lexsort((order[best_i], -best_s), axis=1)[:, :top]
+                        best_s, best_i = np.take_along_axis(best_s, keep, 1), np.take_along_axis(best_i, keep, 1)
+                if asked:
+                    for p in range(n):
+                        for k in b.column(2)[first + p].as_py() or ():
+                            if (c := at.get(k)) is not None:
+                                c_out.append([c]), p_out.append([first + p]), s_out.append([score[c, p]])
+            if top is not None:
+                c, p = np.nonzero(best_s > 0)
+                c_out.append(c), p_out.append(best_i[c, p]), s_out.append(best_s[c, p])
+            if c_out:
+                c, p, v = (np.concatenate(x) for x in (c_out, p_out, s_out))
+                _, one = np.unique(c.astype(np.int64) * len(ids) + p.astype(np.int64), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, key_type).take(pa.array(c[one].astype(np.int64))), b.column(0).take(pa.array(p[one].astype(np.int64))), pa.array(v[one])], [ck, pk, "score"])
+
+    side = passages.select(pk, "terms")
+    if wanted is not None:
+        side = side.join(wanted.groupBy(pk).agg(F.collect_list(ck).alias("wanted")), pk, "left").select(pk, "terms", "wanted")
+    return side.mapInArrow(run, f"{ck} {claims.schema[ck].dataType.simpleString()}, {pk} {passages.schema[pk].dataType.simpleString()}, score double")
+
+
+def lexical_scores(claims: DataFrame, passages: DataFrame, claim: tuple[str, str], passage: tuple[str, str], top: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """(claim key, passage key, lexical) for all claims and passages that share a token; with top, at least the top best of each
+    claim (then by passage key) and the wanted pairs. Few claims: in the passages' tasks; many: an equi-join on tokens."""
+    terms = lambda df, kt: df.select(kt[0], X.word_tokens(F.col(kt[1])).alias("terms"))
+    if (few := _term_scores(terms(claims, claim), terms(passages, passage), claim[0], passage[0], top, wanted)) is not None:
+        return few.withColumnRenamed("score", "lexical")
     q = token_counts(claims, *claim).withColumnRenamed("n", "qn")
     t = token_counts(passages, *passage).select(passage[0], "token", "n")
     hits = q.join(t, "token").groupBy(claim[0], passage[0]).agg(F.sum(F.least("qn", "n")).alias("hit"), F.first("total").alias("total"))
     return hits.select(claim[0], passage[0], X.share(F.col("hit"), F.col("total")).alias("lexical"))
 
 
-def overlap_scores(claims: DataFrame, passages: DataFrame, claim: tuple[str, str], passage: tuple[str, str]) -> DataFrame:
-    """S5 for all claims and passages with a common term: (claim key, passage key, overlap)."""
+def overlap_scores(claims: DataFrame, passages: DataFrame, claim: tuple[str, str], passage: tuple[str, str], top: int | None = None) -> DataFrame:
+    """S5, as lexical_scores() over sets of terms: (claim key, passage key, overlap)."""
+    terms = lambda df, kt: df.select(kt[0], X.overlap_terms(F.col(kt[1])).alias("terms"))
+    if (few := _term_scores(terms(claims, claim), terms(passages, passage), claim[0], passage[0], top, None)) is not None:
+        return few.withColumnRenamed("score", "overlap")
     q = claims.select(claim[0], X.overlap_terms(F.col(claim[1])).alias("t")).select(claim[0], F.size("t").alias("total"), F.explode("t").alias("term"))
     t = passages.select(passage[0], F.explode(X.overlap_terms(F.col(passage[1]))).alias("term"))
     return q.join(t, "term").groupBy(claim[0], passage[0]).agg(X.share(F.count(F.lit(1)), F.first("total")).alias("overlap"))

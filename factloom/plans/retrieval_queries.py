@@ -53,7 +53,7 @@ SIMILARITY_SCALES = f"SELECT vec_id, round((s + 1) / 2, 6) AS \"full\", round(s,
 
 def lexical_multiset_score(spark, d):
     """The five best documents of each benchmark item."""
-    s = R.lexical_scores(table(spark, d, "benchmark"), table(spark, d, "documents"), ("item_id", "text"), ("doc_id", "text"))
+    s = R.lexical_scores(table(spark, d, "benchmark"), spread(table(spark, d, "documents").select("doc_id", "text")), ("item_id", "text"), ("doc_id", "text"), top=5)
     return R.best_per(s, ["item_id"], [F.desc("lexical"), F.col("doc_id")], 5).select("item_id", "rank", "doc_id", F.round("lexical", 6).alias("lexical"))
 
 
@@ -64,7 +64,7 @@ LEXICAL_MULTISET_SCORE = f"WITH {_LEXICAL}, r AS (SELECT *, row_number() OVER (P
 
 def lexical_overlap_topk(spark, d):
     """The three best documents of each benchmark item by set recall."""
-    s = R.overlap_scores(table(spark, d, "benchmark"), table(spark, d, "documents"), ("item_id", "text"), ("doc_id", "text"))
+    s = R.overlap_scores(table(spark, d, "benchmark"), spread(table(spark, d, "documents").select("doc_id", "text")), ("item_id", "text"), ("doc_id", "text"), top=3)
     return R.best_per(s, ["item_id"], [F.desc("overlap"), F.col("doc_id")], 3).select("item_id", "rank", "doc_id", F.round("overlap", 6).alias("overlap"))
 
 
@@ -74,7 +74,7 @@ LEXICAL_OVERLAP_TOPK = f"WITH q AS ({_TERMS.format(key='item_id', tab='benchmark
 
 def classification_interleave(spark, d):
     """Twenty (claim, passage) tasks, interleaved by rank over the claims."""
-    s = R.lexical_scores(table(spark, d, "benchmark"), table(spark, d, "documents"), ("item_id", "text"), ("doc_id", "text"))
+    s = R.lexical_scores(table(spark, d, "benchmark"), spread(table(spark, d, "documents").select("doc_id", "text")), ("item_id", "text"), ("doc_id", "text"), top=20)
     return R.interleaved(s, [], "item_id", "doc_id", F.col("lexical") * 0.65 + 0.09, 20).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -90,12 +90,10 @@ def _candidates(spark, d):
     dv = docs.select("doc_id").join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
     vec = R.vector_shortlists(cv, dv, ("item_id", "qv"), ("doc_id", "embedding"), 200)
     vec = vec.select("item_id", "doc_id", V.unit_similarity(F.col("similarity")).alias("similarity")).persist()
-    # one pass over the lexical scores: the best of either kind, then the shortlist; a vector row's words count in full
-    scores = R.lexical_scores(b, docs, ("item_id", "text"), ("doc_id", "text")).join(vec, ["item_id", "doc_id"], "left").withColumn("near", F.col("similarity").isNotNull())
-    order = [F.desc("lexical"), F.col("doc_id")]
-    kept = R.best_per(scores, ["item_id", "near"], order, 200).select("item_id", "doc_id", "lexical", "near").persist()
-    lex = R.best_per(kept, ["item_id"], order, 200).select("item_id", "doc_id", "lexical")
-    vec = vec.join(kept.where("near").select("item_id", "doc_id", "lexical"), ["item_id", "doc_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    # one pass over the documents: the best of each item by tokens, and the words of what is near by vector
+    scores = R.lexical_scores(b, spread(docs.select("doc_id", "text")), ("item_id", "text"), ("doc_id", "text"), 200, vec.select("item_id", "doc_id")).persist()
+    lex = R.best_per(scores.where("lexical > 0"), ["item_id"], [F.desc("lexical"), F.col("doc_id")], 200).select("item_id", "doc_id", "lexical")
+    vec = vec.join(scores, ["item_id", "doc_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
     both = R.union_candidates(vec, lex, ["item_id", "doc_id"])
     j = both.join(claims, "item_id").join(docs.select("doc_id", "text", "source"), "doc_id")
     role = F.when(F.col("source") == "src0", "PRIMARY").when(F.col("source") == "src1", "OPINION").otherwise("SECONDARY_REPORT")
@@ -139,7 +137,8 @@ def text_signals(spark, d):
 def extraction_quality(spark, d):
     """S34, S44, F11."""
     t = F.col("text")
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.extraction_quality(t, 6).alias("quality"), X.token_estimate(t).alias("tokens"), X.acceptable(t).alias("acceptable"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("lines", X.lines_of(t))
+    return docs.select("doc_id", X.extraction_quality(t, 6, F.col("lines")).alias("quality"), X.token_estimate(t).alias("tokens"), X.acceptable(t, F.col("lines")).alias("acceptable"))
 
 
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')"
