@@ -235,11 +235,12 @@ def greedy_distinct(df: DataFrame, by: list[str], order: list[Column], keep: str
 
 def select_diverse(df: DataFrame, by: list[str], key: str, priority: Column, domain: Column, cluster: Column, intents: Column, limit: int, per_domain: int = 2, reserved: tuple[str, ...] = ("primary", "support", "contradiction")) -> DataFrame:
     """For each key, one row of each reserved intent, then the best; at most per_domain of a domain, one of a text
-    cluster. Rows beyond the first `per_domain` of a domain, and all but the best of a cluster within a domain and set of
-    intents, can't be reached, so the fold's array is cut before it is collected."""
+    cluster. Ranks cut what can't be reached before the fold's array is collected, so its size is bounded by the limits: for each
+    set of intents, the best of a cluster in a domain; of a domain, as many as its own places and the clusters that others may
+    have taken; of a cluster, as many as domains may be full, and one; and as many in all as these may block, and the limit."""
     cand = df.select(*by, F.col(key).alias("id"), priority.alias("p"), domain.alias("d"), cluster.alias("c"), F.array_sort(F.array_intersect(intents, F.array(*[F.lit(x) for x in reserved]))).alias("i"))
-    best = Window.partitionBy(*by, "d", "c", "i").orderBy(F.desc("p"), "id")
-    cand = cand.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    for keys, most in (("dci", 1), ("di", limit + per_domain), ("ci", limit + 1), ("i", limit + (limit // per_domain + 1) * (limit + per_domain) + limit * (limit + 1))):
+        cand = best_per(cand, [*by, *keys], [F.desc("p"), F.col("id")], most, "__n").drop("__n")
     # one fold: first each reserved intent's rows, of which one is taken, then all rows
     phases = F.array(*[F.when(F.array_contains("i", x), F.lit(n)) for n, x in enumerate(reserved)], F.lit(len(reserved)))
     turns = cand.withColumn("phase", F.explode(F.filter(phases, lambda x: x.isNotNull())))

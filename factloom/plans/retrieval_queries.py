@@ -162,6 +162,13 @@ def stable_ids(spark, d):
     return table(spark, d, "benchmark").select("item_id", I.uuid5(t).alias("passage_id"), I.claim_ref(F.col("item_id").cast("string"), X.canonical_text(t)).alias("claim_ref"), X.slug(t).alias("slug"), X.report_title(t).alias("title"))
 
 
+_FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+_CUT = f"CASE WHEN instr(reverse({_FLAT}[:95]), ' ') > 0 AND 95 - instr(reverse({_FLAT}[:95]), ' ') > 24 THEN {_FLAT}[:95 - instr(reverse({_FLAT}[:95]), ' ')] ELSE {_FLAT}[:95] END"
+_SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(text))"
+STABLE_IDS = f"""SELECT item_id, {_SHA}[:8] || '-' || {_SHA}[9:12] || '-5' || {_SHA}[14:16] || '-' || '89ab'[(instr('0123456789abcdef', {_SHA}[17]) - 1) % 4 + 1] || {_SHA}[18:20] || '-' || {_SHA}[21:32] AS passage_id,
+'claim-' || item_id || '-' || sha256({FOLD.format(_FLAT)})[:16] AS claim_ref, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '')[:80] AS slug, CASE WHEN length({_FLAT}) <= 96 THEN {_FLAT} ELSE regexp_replace({_CUT}, '[ ,;:—-]+$', '') || '…' END AS title FROM benchmark"""
+
+
 def _dependencies(spark, d):
     docs = table(spark, d, "documents").withColumn("run", F.lit("corpus"))
     feats = P.features(docs.select("run", "doc_id", "text"), "doc_id", "text").withColumn("content_hash", I.sha256(F.col("text")))
@@ -261,5 +268,5 @@ def claim_profiles(spark, d):
 QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, similarity_scales, lexical_multiset_score, lexical_overlap_topk, classification_interleave, hybrid_rank, lite_hybrid_rank, diverse_sources, text_signals, extraction_quality, exact_duplicates, stable_ids, dependency_edges, origin_clusters, url_canonical, url_host_counts, html_documents, html_blocks, html_passages, passages, lite_chunks, transcript_turns, claim_profiles)}
 ORACLES = {
     "vector_topk": VECTOR_TOPK, "vector_topk_filtered": VECTOR_TOPK_FILTERED, "similarity_scales": SIMILARITY_SCALES, "lexical_multiset_score": LEXICAL_MULTISET_SCORE, "lexical_overlap_topk": LEXICAL_OVERLAP_TOPK,
-    "classification_interleave": CLASSIFICATION_INTERLEAVE, "extraction_quality": EXTRACTION_QUALITY, "exact_duplicates": EXACT_DUPLICATES, "url_canonical": URL_CANONICAL, "url_host_counts": URL_HOST_COUNTS, "transcript_turns": TRANSCRIPT_TURNS,
+    "classification_interleave": CLASSIFICATION_INTERLEAVE, "extraction_quality": EXTRACTION_QUALITY, "exact_duplicates": EXACT_DUPLICATES, "url_canonical": URL_CANONICAL, "url_host_counts": URL_HOST_COUNTS, "transcript_turns": TRANSCRIPT_TURNS, "stable_ids": STABLE_IDS,
 }

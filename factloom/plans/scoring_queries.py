@@ -377,6 +377,14 @@ def initial_queries(spark, d):
     return PO.initial_queries(q, q.select("run_id", "claim_ref").distinct(), runs).select("run_id", "query_no", "query", "mandatory", "position", "phase")
 
 
+INITIAL_QUERIES = """WITH q AS (SELECT l_orderkey AS run_id, l_linenumber % 2 AS claim_ref, CASE l_returnflag WHEN 'A' THEN 'primary' WHEN 'R' THEN 'contradiction' ELSE 'context' END AS intent, l_partkey || ' ' || l_suppkey AS query, l_discount AS priority, l_linenumber AS query_no FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY priority DESC, query, query_no) AS rank, row_number() OVER (PARTITION BY run_id, query ORDER BY priority DESC, query_no) AS again FROM q),
+m AS (SELECT run_id, query, min(rank) AS rank FROM (SELECT run_id, query, rank, row_number() OVER (PARTITION BY run_id, claim_ref, intent ORDER BY rank) AS n FROM r WHERE intent <> 'context') WHERE n = 1 GROUP BY 1, 2),
+u AS (SELECT r.*, o.rank IS NOT NULL AS mandatory, o.rank IS NOT NULL OR (t.query IS NULL AND again = 1) AS usable FROM r LEFT JOIN m o ON o.run_id = r.run_id AND o.rank = r.rank LEFT JOIN m t ON t.run_id = r.run_id AND t.query = r.query),
+p AS (SELECT *, CASE WHEN usable THEN row_number() OVER (PARTITION BY run_id, usable ORDER BY mandatory DESC, rank) END AS position FROM u)
+SELECT run_id, query_no, query, mandatory, position, CASE WHEN position <= 8 THEN 'one' WHEN position <= 22 THEN 'reserve' END AS phase FROM p"""
+
+
 def latest_rows(spark, d):
     """W2, W5, W11, A18, A40, IO15: each customer's latest order, best order, latest terminal one, and the number its next would have."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
@@ -416,5 +424,5 @@ QUERIES = {f.__name__: f for f in (evidence_balance, verdict_label, claim_scores
 ORACLES = {
     "evidence_balance": EVIDENCE_BALANCE, "verdict_label": VERDICT_LABEL, "weighted_average": WEIGHTED_AVERAGE, "dependency_multiplier": DEPENDENCY_MULTIPLIER, "evaluation_metrics": EVALUATION_METRICS, "latency_p95": LATENCY_P95, "cluster_f1": CLUSTER_F1,
     "history_page": HISTORY_PAGE, "orphan_rows": ORPHAN_ROWS, "authorized_rows": AUTHORIZED_ROWS, "report_items": REPORT_ITEMS, "run_metrics": RUN_METRICS, "event_trailing_count": EVENT_TRAILING_COUNT, "events_after_cursor": EVENTS_AFTER_CURSOR, "event_monotone": EVENT_MONOTONE,
-    "event_windows": EVENT_WINDOWS, "expectations": EXPECTATIONS, "running_signals": RUNNING_SIGNALS, "latest_rows": LATEST_ROWS, "stance_groups": STANCE_GROUPS, "claim_scores": CLAIM_SCORES, "run_scores": RUN_SCORES, "numeric_audit": NUMERIC_AUDIT, "event_rate_fixed": EVENT_RATE_FIXED, "event_rate_sliding": EVENT_RATE_SLIDING, "event_transitions": EVENT_TRANSITIONS, "coverage_gaps": COVERAGE_GAPS,
+    "event_windows": EVENT_WINDOWS, "expectations": EXPECTATIONS, "running_signals": RUNNING_SIGNALS, "latest_rows": LATEST_ROWS, "stance_groups": STANCE_GROUPS, "initial_queries": INITIAL_QUERIES, "claim_scores": CLAIM_SCORES, "run_scores": RUN_SCORES, "numeric_audit": NUMERIC_AUDIT, "event_rate_fixed": EVENT_RATE_FIXED, "event_rate_sliding": EVENT_RATE_SLIDING, "event_transitions": EVENT_TRANSITIONS, "coverage_gaps": COVERAGE_GAPS,
 }
