@@ -152,15 +152,18 @@ WHEN list_has_any(k, ['DERIVES_FROM','QUOTES','USES_SAME_DATA','POSSIBLE_DUPLICA
 
 
 def evaluation_metrics(spark, d):
-    """Quality as the expected verdict, toxicity as the prediction."""
-    lab = table(spark, d, "labels").withColumn("e", F.when(F.col("quality") == 1, "supported").otherwise("contradicted")).withColumn("p", F.when(F.col("toxic") == 0, "supported").otherwise("contradicted")).withColumn("c", F.lit(0.8))
+    """A26, A29, A30, A32, A33 over four verdicts; documents of quality are the expected evidence, those that aren't toxic the found."""
+    pick = lambda n: F.element_at(F.array(*[F.lit(x) for x in E.LABELS]), (n % 4 + 1).cast("int"))
+    lab = table(spark, d, "labels").withColumn("e", pick(F.col("doc_id"))).withColumn("p", F.when(F.col("doc_id") % 5 < 2, pick(F.floor(F.col("doc_id") / 3))).otherwise(F.col("e"))).withColumn("c", F.col("doc_id") % 10 / 10)
     p, r = E.micro_precision_recall(F.when(F.col("quality") == 1, F.array(F.col("doc_id").cast("string"))), F.when(F.col("toxic") == 0, F.array(F.col("doc_id").cast("string"))))
-    one = lab.agg(E.six(E.accuracy(F.col("e"), F.col("p"))).alias("accuracy"), E.six(p).alias("micro_precision"), E.six(r).alias("micro_recall"), E.six(F.avg(E.brier(F.col("e"), F.col("p"), F.col("c")))).alias("brier"), E.six(E.calibration_error(F.col("e"), F.col("p"), F.col("c"))).alias("calibration"))
+    one = lab.agg(E.six(E.accuracy(F.col("e"), F.col("p"))).alias("accuracy"), E.six(p).alias("micro_precision"), E.six(r).alias("micro_recall"), F.round(F.avg(E.brier(F.col("e"), F.col("p"), F.col("c"))), 5).alias("brier"), F.round(E.calibration_error(F.col("e"), F.col("p"), F.col("c")), 5).alias("calibration"))
     return one.join(E.macro_f1(lab, "e", "p").select(E.six(F.col("macro_f1")).alias("macro_f1")), F.lit(True))
 
 
-EVALUATION_METRICS = """WITH l AS (SELECT quality = 1 AS e, toxic = 0 AS p FROM labels), s AS (SELECT count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND NOT p) AS tn, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn, count(*) AS n FROM l)
-SELECT round_even((tp + tn) / n::DOUBLE, 6) AS accuracy, round_even(tp / (tp + fp)::DOUBLE, 6) AS micro_precision, round_even(tp / (tp + fn)::DOUBLE, 6) AS micro_recall, round_even(((tp + tn) * 0.04::DOUBLE + (fp + fn) * 0.64::DOUBLE) / n, 6) AS brier, round_even(((tp + tn) * 0.2::DOUBLE + (fp + fn) * 0.8::DOUBLE) / n, 6) AS calibration, round_even((2 * tp / (2 * tp + fp + fn)::DOUBLE + 2 * tn / (2 * tn + fp + fn)::DOUBLE) / 2, 6) AS macro_f1 FROM s"""
+EVALUATION_METRICS = """WITH l AS (SELECT doc_id % 4 AS e, CASE WHEN doc_id % 5 < 2 THEN doc_id // 3 % 4 ELSE doc_id % 4 END AS p, (doc_id % 10) / 10.0::DOUBLE AS c, quality = 1 AS q, toxic = 0 AS t FROM labels),
+k AS (SELECT range AS k FROM range(4)), f AS (SELECT k, 2 * count(*) FILTER (e = k AND p = k) / nullif(count(*) FILTER (e = k) + count(*) FILTER (p = k), 0)::DOUBLE AS f FROM l, k GROUP BY 1 HAVING count(*) FILTER (e = k) > 0)
+SELECT round_even(avg(CASE WHEN e = p THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, round_even(count(*) FILTER (q AND t) / count(*) FILTER (t)::DOUBLE, 6) AS micro_precision, round_even(count(*) FILTER (q AND t) / count(*) FILTER (q)::DOUBLE, 6) AS micro_recall,
+round(avg(pow(c - CASE WHEN e = p THEN 1 ELSE 0 END, 2)), 5) AS brier, round(avg(abs(c - CASE WHEN e = p THEN 1 ELSE 0 END)), 5) AS calibration, (SELECT round_even(avg(f), 6) FROM f) AS macro_f1 FROM l"""
 
 
 def latency_p95(spark, d):
@@ -301,12 +304,12 @@ EVENTS_AFTER_CURSOR = "WITH c AS (SELECT user_id, max(event_id) AS cursor FROM e
 
 
 def event_monotone(spark, d):
-    """ST1, ST2 on a stream of the events table."""
-    s = EV.event_stream(spark, f"{d}/events.parquet").select("user_id", "event_id", "event_type")
-    return EV.run_to_end(EV.monotone_log(s, "user_id", "event_id"), spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
+    """ST1, ST2 on a stream of the events table, in which most numbers come several times."""
+    s = EV.event_stream(spark, f"{d}/events.parquet").selectExpr("user_id", "event_id div 500 AS sequence")
+    return EV.run_to_end(EV.monotone_log(s, "user_id", "sequence"))
 
 
-EVENT_MONOTONE = "SELECT user_id, event_id, event_type FROM events"
+EVENT_MONOTONE = "SELECT DISTINCT user_id, event_id // 500 AS sequence FROM events"
 
 
 _STAGE_OF = {t: zlib.crc32(t.encode()) % 5 for t in ("view", "click", "purchase", "error", "signup")}

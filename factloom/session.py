@@ -24,6 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for checkpoints; one of our own only where the session names none (tests)."""
+    import tempfile
+
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = getattr(sc, "_factloom_folder", None)
+        if named is None:
+            named = sc._factloom_folder = "file://" + tempfile.mkdtemp(prefix="factloom-")
+    return named.rstrip("/")
+
+
+def reliable(spark: SparkSession) -> None:
+    """Make checkpoint() write to the shared folder, unless the session has a place for it."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df for row work that outweighs a shuffle: a scan of fewer partitions than there are cores is dealt out over them. A large
     table's scan has more, and stays as it is."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.runs import STATUS_ORDER, TERMINAL
+from ..session import shared_folder
 
 
 def monotone_rows(last: int, pdf: pd.DataFrame, sequence: str) -> tuple[int, pd.DataFrame]:
@@ -80,6 +81,12 @@ def _with_state(df: DataFrame, key: str, output: str, state: str, first: tuple,
 DAY_MS = 86_400_000
 
 
+def newest(log: DataFrame, key: str, sequence: str, most: int = 1000) -> DataFrame:
+    """ST2: the last `most` events of each key, as a capped stream keeps them."""
+    w = Window.partitionBy(key).orderBy(F.desc(sequence))
+    return log.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
 def monotone_log(events: DataFrame, key: str, sequence: str, ttl_ms: int | None = None) -> DataFrame:
     """ST1, ST2 on a stream: one number of state for each key, dropped ttl_ms (DAY_MS in a service) after its last event. A
     time to live needs a trigger that goes on: with availableNow, batches without data would follow without end."""
@@ -173,9 +180,10 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return stream.option("pathGlobFilter", at.getName()).parquet(str(at.getParent()))
 
 
-def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over what is there now; its output is a table in the shared folder."""
-    spark, at = stream.sparkSession, f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def run_to_end(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run a stream over what is there now; its output is a table in `folder`, else in the shared one."""
+    spark = stream.sparkSession
+    at = f"{(folder or shared_folder(spark)).rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
