@@ -34,3 +34,16 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in rows["packing"]} == {r["doc_id"] for r in rows["mixing"]}
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.count() == len(rows["packing"])
+
+
+def test_stages_on_no_rows_and_clashing_columns(spark, tmp_path):
+    docs, labels = labelled_corpus(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    names = ("kept", "rate", "copies", "spans", "score", "row", "comp")
+    wide = docs.withColumns({c: docs["doc_id"] for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, wide, str(tmp_path))
+        if name != "packing":
+            assert got.columns == wide.columns
+            assert all(r["rate"] == r["doc_id"] and r["spans"] == r["doc_id"] for r in got.where("doc_id is not null").collect())
+        assert got.count() > 0 and stage(spark, wide.limit(0), str(tmp_path)).count() == 0
