@@ -81,9 +81,9 @@ def classification_interleave(spark, d):
 CLASSIFICATION_INTERLEAVE = f"WITH {_LEXICAL}, r AS (SELECT *, lexical * CAST(0.65 AS DOUBLE) + CAST(0.09 AS DOUBLE) AS score FROM lex), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM k ORDER BY k.rank, item_id LIMIT 20"
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, **of_text):
     """Lexical and vector shortlists of each benchmark item, with all signals of T5. Neither list gates the other; a row of
-    the lexical list alone has no similarity."""
+    the lexical list alone has no similarity. of_text: columns of a document's own, made before it meets its claims."""
     b, docs, e = (table(spark, d, t) for t in ("benchmark", "documents", "embeddings"))
     claims = b.select("item_id", F.col("text").alias("claim"), X.exact_needles(F.col("text")).alias("needles"))
     cv = b.select("item_id").join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("qv")), "item_id")
@@ -95,11 +95,12 @@ def _candidates(spark, d):
     lex = R.best_per(scores.where("lexical > 0"), ["item_id"], [F.desc("lexical"), F.col("doc_id")], 200).select("item_id", "doc_id", "lexical")
     vec = vec.join(scores, ["item_id", "doc_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
     both = R.union_candidates(vec, lex, ["item_id", "doc_id"])
-    j = both.join(claims, "item_id").join(docs.select("doc_id", "text", "source"), "doc_id")
+    own = spread(docs.select("doc_id", "text", "source")).withColumns({"folded": X.fold(F.col("text")), **of_text})
+    j = both.join(claims, "item_id").join(own, "doc_id")
     role = F.when(F.col("source") == "src0", "PRIMARY").when(F.col("source") == "src1", "OPINION").otherwise("SECONDARY_REPORT")
     return j.select(
-        "item_id", "doc_id", "lexical", X.needles_found(F.col("needles"), X.fold(F.col("text"))).alias("exact"), F.lit(0.5).alias("metadata"), X.source_role_score(role).alias("role"),
-        F.least(F.lit(1.0), F.length("text") / F.lit(2000.0)).alias("certainty"), "similarity", "text", "claim",
+        "item_id", "doc_id", "lexical", X.needles_found(F.col("needles"), F.col("folded")).alias("exact"), F.lit(0.5).alias("metadata"), X.source_role_score(role).alias("role"),
+        F.least(F.lit(1.0), F.length("text") / F.lit(2000.0)).alias("certainty"), "similarity", "text", "claim", *of_text,
     )
 
 
@@ -110,19 +111,18 @@ def hybrid_rank(spark, d):
 
 def lite_hybrid_rank(spark, d):
     """The eight best chunks of each claim, near-duplicates suppressed."""
-    c = _candidates(spark, d)
-    signals, hay = X.exact_signals(F.col("claim")), X.searchable_text(F.col("text"))
-    c = c.withColumn("terms", X.lite_terms(F.col("claim"))).withColumn("signals", signals).withColumn("hay", hay)
+    c = _candidates(spark, d, hay=X.searchable_text(F.col("text")), hash=F.xxhash64("text"), text_terms=X.lite_terms(F.col("text"), 120))
+    c = c.withColumn("terms", X.lite_terms(F.col("claim"))).withColumn("signals", X.exact_signals(F.col("claim")))
     lexical, boost = X.lite_lexical_score(F.col("terms"), F.array("claim"), F.col("signals"), F.col("hay")), X.exact_signal_boost(F.col("signals"), F.col("hay"))
     c = c.withColumn("lite", lexical).withColumn("boost", boost).withColumn("combined", R.lite_score(F.col("similarity"), F.col("lite"), F.lit(1.0), F.col("boost")))
-    c = c.withColumn("hash", F.xxhash64("text"))
-    kept = R.greedy_distinct(c, ["item_id"], [F.desc("combined"), F.col("doc_id")], "doc_id", F.col("hash"), X.lite_terms(F.col("text"), 120), 8)
+    c = c.select("item_id", "doc_id", "combined", "lite", "boost", "similarity", "hash", "text_terms").persist()
+    kept = R.greedy_distinct(c, ["item_id"], [F.desc("combined"), F.col("doc_id")], "doc_id", F.col("hash"), F.col("text_terms"), 8)
     return kept.join(c.select("item_id", "doc_id", F.round("combined", 4).alias("combined"), X.low_confidence(F.col("combined"), F.col("lite"), F.col("boost"), F.col("similarity")).alias("low_confidence")), ["item_id", "doc_id"])
 
 
 def diverse_sources(spark, d):
     """Ten diverse documents of each language."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     priority = F.bround(F.least(F.lit(1.0), F.col("n_chars") / F.lit(5000.0)), 4)
     intents = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("primary"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("support"))).otherwise(F.array(F.lit("contradiction"), F.lit("context")))
     return R.select_diverse(docs, ["lang"], "doc_id", priority, F.col("source"), X.cluster_key(F.col("text"), F.lit(""), F.col("doc_id").cast("string")), intents, 10)
