@@ -65,7 +65,7 @@ def test_cells_far_away_are_not_read(spark):
     got = hard_negatives.hard_negatives(df, F.col("vec_id") % 100 == 0, block=50, query_block=2, nearest=2, watch=watch).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_negatives(rows, 100)
     shares = [read / every for read, every in watch["read"]]
-    assert len(shares) == 4 and max(shares[:3]) < 0.5 and shares[3] < 0.9, shares
+    assert len(shares) == 4 and max(shares) < 0.6, shares
 
 
 def test_bounds_of_cells_hold():
