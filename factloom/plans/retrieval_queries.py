@@ -171,7 +171,7 @@ STABLE_IDS = f"""SELECT item_id, {_SHA}[:8] || '-' || {_SHA}[9:12] || '-5' || {_
 
 def _dependencies(spark, d):
     docs = table(spark, d, "documents").withColumn("run", F.lit("corpus"))
-    feats = P.features(docs.select("run", "doc_id", "text"), "doc_id", "text").withColumn("content_hash", I.sha256(F.col("text")))
+    feats = P.features(spread(docs.select("run", "doc_id", "text")), "doc_id", "text").withColumn("content_hash", I.sha256(F.col("text")))
     feats = feats.drop("text").persist()
     pairs = P.candidate_pairs(feats, ["run"], "doc_id", F.col("doc_id"))
     edges = P.first_edges(P.pair_edges(pairs, feats, ["run"], "doc_id"), ["run"])
