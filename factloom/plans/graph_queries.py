@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import postings as PO
 from ..operators import provenance as P
-from ..session import spread, table
+from ..session import shared_folder, spread, table
+from ..sources import versions as VS
 
 
 def claim_cycles(spark, d):
@@ -66,5 +70,25 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM every QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, created_at, doc_id) <= 50
 """
 
-QUERIES = {f.__name__: f for f in (claim_cycles, array_containment, cover_density_shortlist)}
-ORACLES = {"claim_cycles": CLAIM_CYCLES, "array_containment": ARRAY_CONTAINMENT, "cover_density_shortlist": COVER_DENSITY_SHORTLIST}
+def source_versions(spark, d):
+    """IO17, IO18: a run for each year of orders brings the priority of each customer's last order in
+    it; a version is added where it isn't that of the customer's last version. The last run is made twice."""
+    o = table(spark, d, "orders").selectExpr("o_custkey AS source", "year(o_orderdate) AS run_id", "o_orderpriority", "o_orderdate", "o_orderkey")
+    runs = o.groupBy("source", "run_id").agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("content"))
+    years = sorted(r[0] for r in runs.select("run_id").distinct().collect())  # a row for each year
+    schema = StructType.fromDDL("source bigint, version int, content string, run_id int")
+    versions = VS.BucketTable(spark, f"{shared_folder(spark)}/factloom/versions-{uuid.uuid4().hex}", schema, "source", 16)
+    for year in [*years, *years[-1:]]:
+        versions.commit(year, runs.where(F.col("run_id") == year).select(F.col("source").cast("long").alias("source"), "content", "run_id"), VS.next_versions("source", "content", "run_id"))
+    return versions.read()
+
+
+SOURCE_VERSIONS = """
+WITH r AS (SELECT o_custkey AS source, CAST(year(o_orderdate) AS INTEGER) AS run_id, o_orderpriority AS content FROM orders
+           QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+c AS (SELECT *, lag(content) OVER (PARTITION BY source ORDER BY run_id) AS before FROM r)
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY run_id) AS INTEGER) AS version, content, run_id FROM c WHERE before IS DISTINCT FROM content
+"""
+
+QUERIES = {f.__name__: f for f in (claim_cycles, array_containment, cover_density_shortlist, source_versions)}
+ORACLES = {"source_versions": SOURCE_VERSIONS, "claim_cycles": CLAIM_CYCLES, "array_containment": ARRAY_CONTAINMENT, "cover_density_shortlist": COVER_DENSITY_SHORTLIST}
