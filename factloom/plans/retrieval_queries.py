@@ -173,6 +173,7 @@ def _dependencies(spark, d):
     docs = table(spark, d, "documents").withColumn("run", F.lit("corpus"))
     feats = P.features(spread(docs.select("run", "doc_id", "text")), "doc_id", "text").withColumn("content_hash", I.sha256(F.col("text")))
     feats = feats.drop("text").persist()
+    feats.count()  # once, before several stages ask different executors for the same partitions
     pairs = P.candidate_pairs(feats, ["run"], "doc_id", F.col("doc_id"))
     edges = P.first_edges(P.pair_edges(pairs, feats, ["run"], "doc_id"), ["run"])
     return docs.select("run", F.col("doc_id").cast("string").alias("ref"), "doc_id", "source"), edges
