@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 from ..functions import vectors as V
+from .ranked import best_shared
 
 
 def vector_topk(vectors: DataFrame, query: list[float], k: int, floor: float | None = None, where: Column | None = None, tie: tuple[str, ...] = ("vec_id",), column: str = "embedding", most: int = 50) -> DataFrame:
@@ -48,21 +51,13 @@ def lexical_candidates(chunks: DataFrame, terms: list[str], text: str = "text",
     return chunks.where(holds(text) | holds(label))
 
 
-def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, n, total): each token's number in a text and the number of all of them. The text is tokenized once, and
-    its counts are taken in the row: no shuffle."""
-    tokens = df.select(key, X.word_tokens(F.col(text)).alias("t"))
-    each = tokens.select(key, F.size("t").alias("total"), F.explode("t").alias("token"))
-    return each.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
-
-
 #: Claims whose tokens travel to all workers, and their tokens, at most; beyond, claims and passages meet by an equi-join.
 MOST_CLAIMS, MOST_TOKENS = 2_000, 200_000
 
 
 def _term_scores(claims: DataFrame, passages: DataFrame, ck: str, pk: str, top: int | None, wanted: DataFrame | None) -> DataFrame | None:
     """(ck, pk, score): the share of a claim's terms, as often as they stand there, that a passage has; tables of (key, terms array).
-    Few claims are checked in the passages' own tasks, by products of 0/1 matrices, which give top entries of each claim alone (all
+    Few claims are checked in the passages' own tasks, by posting lists of their terms, which give top entries of each claim alone (all
     pairs above 0 without top) and the wanted pairs. None for more claims."""
     rows = claims.select(ck, "terms").limit(MOST_CLAIMS + 1).collect()
     if len(rows) > MOST_CLAIMS or sum(len(r["terms"] or ()) for r in rows) > MOST_TOKENS:
@@ -70,13 +65,10 @@ def _term_scores(claims: DataFrame, passages: DataFrame, ck: str, pk: str, top:
     keys = [r[ck] for r in rows]
     vocabulary = sorted({t for r in rows for t in r["terms"] or ()})
     place = {t: i for i, t in enumerate(vocabulary)}
-    q = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for i, r in enumerate(rows):
-        for t in r["terms"] or ():
-            q[i, place[t]] += 1
+    pairs = sorted((place[t], i, n) for i, r in enumerate(rows) for t, n in Counter(r["terms"] or ()).items())
+    of, who, often = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), (), ())))
+    first_of = np.searchsorted(of, np.arange(len(vocabulary) + 1))  # postings of a term: from its own place to the next one's
     total = np.array([len(r["terms"] or ()) for r in rows], float)
-    levels = [(np.flatnonzero((q >= n).any(axis=0)), n) for n in range(1, int(q.max(initial=0)) + 1)]
-    levels = [(cols, n, np.ascontiguousarray((q[:, cols] >= n).T.astype(np.float32))) for cols, n in levels]
     at, asked, key_type = {k: i for i, k in enumerate(keys)}, wanted is not None, to_arrow_type(claims.schema[ck].dataType)
 
     def run(batches):
@@ -90,14 +82,15 @@ def _term_scores(claims: DataFrame, passages: DataFrame, ck: str, pk: str, top:
             row, found = row[known], found[known].astype(np.int64)
             best_s, best_i = np.zeros((len(keys), 0)), np.zeros((len(keys), 0), np.int64)
             c_out, p_out, s_out = [], [], []
+            term, times = np.unique(row * len(vocabulary) + found, return_counts=True)
+            row, found = np.divmod(term, max(1, len(vocabulary)))
             for first in range(0, len(ids), 512):
                 n = min(512, len(ids) - first)
                 lo, hi = np.searchsorted(row, (first, first + n))
-                d = np.zeros((n, len(vocabulary)), np.float32)
-                np.add.at(d, (row[lo:hi] - first, found[lo:hi]), 1)
-                hit = np.zeros((n, len(keys)), np.float32)
-                for cols, least, wide in levels:
-                    hit += (d[:, cols] >= least).astype(np.float32) @ wide
+                many = first_of[found[lo:hi] + 1] - first_of[found[lo:hi]]
+                each = np.repeat(np.arange(lo, hi), many)
+                post = np.arange(len(each)) + np.repeat(first_of[found[lo:hi]] - (np.cumsum(many) - many), many)
+                hit = np.bincount((row[each] - first) * len(keys) + who[post], np.minimum(often[post], times[each]), n * len(keys)).reshape(n, len(keys))
                 score = np.divide(hit, total[None, :], out=np.zeros(hit.shape), where=total > 0).T
                 if top is None:
                     c, p = np.nonzero(score)
@@ -129,24 +122,23 @@ def _term_scores(claims: DataFrame, passages: DataFrame, ck: str, pk: str, top:
 
 def lexical_scores(claims: DataFrame, passages: DataFrame, claim: tuple[str, str], passage: tuple[str, str], top: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """(claim key, passage key, lexical) for all claims and passages that share a token; with top, at least the top best of each
-    claim (then by passage key) and the wanted pairs. Few claims: in the passages' tasks; many: an equi-join on tokens."""
-    terms = lambda df, kt: df.select(kt[0], X.word_tokens(F.col(kt[1])).alias("terms"))
-    if (few := _term_scores(terms(claims, claim), terms(passages, passage), claim[0], passage[0], top, wanted)) is not None:
-        return few.withColumnRenamed("score", "lexical")
-    q = token_counts(claims, *claim).withColumnRenamed("n", "qn")
-    t = token_counts(passages, *passage).select(passage[0], "token", "n")
-    hits = q.join(t, "token").groupBy(claim[0], passage[0]).agg(F.sum(F.least("qn", "n")).alias("hit"), F.first("total").alias("total"))
-    return hits.select(claim[0], passage[0], X.share(F.col("hit"), F.col("total")).alias("lexical"))
+    claim (then by passage key) and the wanted pairs. Few claims: in the passages' tasks; many: by best_shared()."""
+    (ck, ct), (pk, pt) = claim, passage
+    terms = lambda c: X.word_tokens(F.col(c))
+    found = _term_scores(claims.select(ck, terms(ct).alias("terms")), passages.select(pk, terms(pt).alias("terms")), ck, pk, top, wanted)
+    if found is None:
+        found = best_shared(claims, passages, (ck, terms(ct)), (pk, terms(pt)), top, wanted)
+    return found.withColumnRenamed("score", "lexical")
 
 
 def overlap_scores(claims: DataFrame, passages: DataFrame, claim: tuple[str, str], passage: tuple[str, str], top: int | None = None) -> DataFrame:
     """S5, as lexical_scores() over sets of terms: (claim key, passage key, overlap)."""
-    terms = lambda df, kt: df.select(kt[0], X.overlap_terms(F.col(kt[1])).alias("terms"))
-    if (few := _term_scores(terms(claims, claim), terms(passages, passage), claim[0], passage[0], top, None)) is not None:
-        return few.withColumnRenamed("score", "overlap")
-    q = claims.select(claim[0], X.overlap_terms(F.col(claim[1])).alias("t")).select(claim[0], F.size("t").alias("total"), F.explode("t").alias("term"))
-    t = passages.select(passage[0], F.explode(X.overlap_terms(F.col(passage[1]))).alias("term"))
-    return q.join(t, "term").groupBy(claim[0], passage[0]).agg(X.share(F.count(F.lit(1)), F.first("total")).alias("overlap"))
+    (ck, ct), (pk, pt) = claim, passage
+    terms = lambda c: X.overlap_terms(F.col(c))
+    found = _term_scores(claims.select(ck, terms(ct).alias("terms")), passages.select(pk, terms(pt).alias("terms")), ck, pk, top, None)
+    if found is None:
+        found = best_shared(claims, passages, (ck, terms(ct)), (pk, terms(pt)), top, sets=True)
+    return found.withColumnRenamed("score", "overlap")
 
 
 def best_per(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

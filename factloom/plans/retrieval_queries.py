@@ -13,6 +13,7 @@ from ..operators import chunking as C
 from ..operators import html as H
 from ..operators import provenance as P
 from ..operators import retrieval as R
+from ..operators.ranked import best_shared
 from ..session import spread, table
 
 FOLD = "replace(translate(lower({}), 'ſςµ', 'sσμ'), 'ß', 'ss')"
@@ -72,6 +73,17 @@ _TERMS = f"SELECT DISTINCT {{key}}, {FOLD.format('w')} AS term FROM (SELECT {{ke
 LEXICAL_OVERLAP_TOPK = f"WITH q AS ({_TERMS.format(key='item_id', tab='benchmark')}), d AS ({_TERMS.format(key='doc_id', tab='documents')}), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1), s AS (SELECT item_id, doc_id, count(*) / CAST(any_value(n) AS DOUBLE) AS overlap FROM q JOIN d USING (term) JOIN n USING (item_id) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM s) SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(overlap, 6) AS overlap FROM r WHERE rank <= 3"
 
 
+def lexical_walk(spark, d):
+    """The ten best documents of each benchmark item, by postings walked from an item's rarest term on, for any number of items."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    words = X.word_tokens(F.col("text"))
+    s = best_shared(table(spark, d, "benchmark"), docs, ("item_id", words), ("doc_id", words), 10)
+    return R.best_per(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 10).select("item_id", "rank", "doc_id", F.round("score", 6).alias("lexical"))
+
+
+LEXICAL_WALK = LEXICAL_MULTISET_SCORE.replace("rank <= 5", "rank <= 10")
+
+
 def classification_interleave(spark, d):
     """Twenty (claim, passage) tasks, interleaved by rank over the claims."""
     s = R.lexical_scores(table(spark, d, "benchmark"), spread(table(spark, d, "documents").select("doc_id", "text")), ("item_id", "text"), ("doc_id", "text"), top=20)
@@ -266,8 +278,8 @@ def claim_profiles(spark, d):
     return AU.profiles(c).select("claim_ref", "subject", "jurisdiction", "year", "focus")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, similarity_scales, lexical_multiset_score, lexical_overlap_topk, classification_interleave, hybrid_rank, lite_hybrid_rank, diverse_sources, text_signals, extraction_quality, exact_duplicates, stable_ids, dependency_edges, origin_clusters, url_canonical, url_host_counts, html_documents, html_blocks, html_passages, passages, lite_chunks, transcript_turns, claim_profiles)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, similarity_scales, lexical_multiset_score, lexical_overlap_topk, lexical_walk, classification_interleave, hybrid_rank, lite_hybrid_rank, diverse_sources, text_signals, extraction_quality, exact_duplicates, stable_ids, dependency_edges, origin_clusters, url_canonical, url_host_counts, html_documents, html_blocks, html_passages, passages, lite_chunks, transcript_turns, claim_profiles)}
 ORACLES = {
-    "vector_topk": VECTOR_TOPK, "vector_topk_filtered": VECTOR_TOPK_FILTERED, "similarity_scales": SIMILARITY_SCALES, "lexical_multiset_score": LEXICAL_MULTISET_SCORE, "lexical_overlap_topk": LEXICAL_OVERLAP_TOPK,
+    "vector_topk": VECTOR_TOPK, "vector_topk_filtered": VECTOR_TOPK_FILTERED, "similarity_scales": SIMILARITY_SCALES, "lexical_multiset_score": LEXICAL_MULTISET_SCORE, "lexical_overlap_topk": LEXICAL_OVERLAP_TOPK, "lexical_walk": LEXICAL_WALK,
     "classification_interleave": CLASSIFICATION_INTERLEAVE, "extraction_quality": EXTRACTION_QUALITY, "exact_duplicates": EXACT_DUPLICATES, "url_canonical": URL_CANONICAL, "url_host_counts": URL_HOST_COUNTS, "transcript_turns": TRANSCRIPT_TURNS, "stable_ids": STABLE_IDS,
 }
