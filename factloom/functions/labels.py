@@ -62,6 +62,11 @@ def percent(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), c.cast("double")))
 
 
+def half_away(c: Column, places: int) -> Column:
+    """A double at so many places, as SQL rounds: the scaled double decides a tie, not the shortest decimal that names it."""
+    return F.round(c * 10.0**places) / 10.0**places
+
+
 def verdict_confidence(penalties: Column, **parts: Column) -> Column:
     """A6."""
     return percent(reduce(lambda a, b: a + b, [F.lit(float(w)) * parts[k].cast("double") for k, w in CONFIDENCE_WEIGHTS.items()]) - penalties)
