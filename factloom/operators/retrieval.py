@@ -72,21 +72,23 @@ def _term_scores(claims: DataFrame, passages: DataFrame, ck: str, pk: str, top:
     at, asked, key_type = {k: i for i, k in enumerate(keys)}, wanted is not None, to_arrow_type(claims.schema[ck].dataType)
 
     def run(batches):
+        known_terms = pa.array(vocabulary, pa.string())
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(np.argsort(ids, kind="stable"))
-            lists = b.column(1)
-            found = pc.index_in(lists.flatten(), pa.array(vocabulary, pa.string())).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-            known = ~np.isnan(found) if found.dtype.kind == "f" else np.ones(len(found), bool)
-            row, found = row[known], found[known].astype(np.int64)
             best_s, best_i = np.zeros((len(keys), 0)), np.zeros((len(keys), 0), np.int64)
             c_out, p_out, s_out = [], [], []
-            term, times = np.unique(row * len(vocabulary) + found, return_counts=True)
-            row, found = np.divmod(term, max(1, len(vocabulary)))
             for first in range(0, len(ids), 512):
+                # words of these passages alone are held as arrays
                 n = min(512, len(ids) - first)
-                lo, hi = np.searchsorted(row, (first, first + n))
+                lists = b.column(1).slice(first, n)
+                found = pc.index_in(lists.flatten(), known_terms).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(first, first + n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                known = ~np.isnan(found) if found.dtype.kind == "f" else np.ones(len(found), bool)
+                row, found = row[known], found[known].astype(np.int64)
+                term, times = np.unique(row * len(vocabulary) + found, return_counts=True)
+                row, found = np.divmod(term, max(1, len(vocabulary)))
+                lo, hi = 0, len(row)
                 many = first_of[found[lo:hi] + 1] - first_of[found[lo:hi]]
                 each = np.repeat(np.arange(lo, hi), many)
                 post = np.arange(len(each)) + np.repeat(first_of[found[lo:hi]] - (np.cumsum(many) - many), many)
