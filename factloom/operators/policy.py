@@ -36,21 +36,22 @@ def initial_queries(queries: DataFrame, claims: DataFrame, runs: DataFrame) -> D
     runs: run_id, depth, attribution_required. Texts are first made unique in each run and intent, so the mandatory query of a
     claim and intent is a rank, not a fold, unless two claims want the same text: then the first in order has it.
     """
-    q = queries.withColumn("text", X.canonical_text(F.col("query")))
+    # what a run needs comes as one row, and all windows are within a run, so that the queries are shuffled once
+    of_run = claims.groupBy("run_id").agg(F.count(F.lit(1)).alias("claims"), F.collect_set("claim_ref").alias("checked"))
+    budget = runs.join(of_run, "run_id", "left").select("run_id", "attribution_required", "checked", L.search_budget(F.col("depth"), F.coalesce("claims", F.lit(0)), F.col("attribution_required")).alias("b"))
+    q = queries.withColumn("text", X.canonical_text(F.col("query"))).join(budget, "run_id")
     order = [F.desc("priority"), F.col("text"), F.col("query_no")]
     q = q.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)))
-    wanted = q.join(claims.select("run_id", "claim_ref"), ["run_id", "claim_ref"], "left_semi").where(F.col("intent").isin("primary", "contradiction"))
-    own = wanted.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "claim_ref", "intent").orderBy("rank"))).where("n = 1")
-    attr = q.join(runs.where("attribution_required").select("run_id"), "run_id", "left_semi").where("intent = 'attribution'")
-    attr = attr.withColumn("n", F.row_number().over(Window.partitionBy("run_id").orderBy("rank"))).where("n = 1")
-    mandatory = own.unionByName(attr).groupBy("run_id", "text").agg(F.min("rank").alias("rank"))
-    n_claims = claims.groupBy("run_id").agg(F.count(F.lit(1)).alias("claims"))
-    budget = runs.join(n_claims, "run_id", "left").select("run_id", L.search_budget(F.col("depth"), F.coalesce("claims", F.lit(0)), F.col("attribution_required")).alias("b"))
-    first = q.withColumn("again", F.row_number().over(Window.partitionBy("run_id", "text").orderBy("rank")))
-    m = first.join(mandatory.select("run_id", "rank", F.lit(1).alias("mandatory")), ["run_id", "rank"], "left").join(mandatory.select("run_id", "text", F.lit(1).alias("taken")), ["run_id", "text"], "left")
+    own = F.coalesce(F.array_contains("checked", F.col("claim_ref")) & F.col("intent").isin("primary", "contradiction"), F.lit(False))
+    attribution = F.coalesce(F.col("attribution_required") & (F.col("intent") == "attribution"), F.lit(False))
+    q = q.withColumn("own", own).withColumn("attr", attribution)
+    nth = lambda *keys: F.row_number().over(Window.partitionBy("run_id", *keys).orderBy("rank"))
+    chosen = (F.col("own") & (F.col("of_claim") == 1)) | (F.col("attr") & (F.col("of_run") == 1))
+    q = q.withColumn("of_claim", nth("claim_ref", "intent", "own")).withColumn("of_run", nth("attr"))
+    q = q.withColumn("taken", F.min(F.when(chosen, F.col("rank"))).over(Window.partitionBy("run_id", "text")))
+    m = q.withColumn("again", nth("text")).withColumn("mandatory", F.when(F.col("rank") == F.col("taken"), 1))
     usable = F.col("mandatory").isNotNull() | (F.col("taken").isNull() & (F.col("again") == 1))
     m = m.withColumn("usable", usable).withColumn("place", F.when(usable, F.row_number().over(Window.partitionBy("run_id", "usable").orderBy(F.desc_nulls_last("mandatory"), "rank"))))
-    m = m.join(budget, "run_id")
     phase = F.when(F.col("place") <= F.col("b.phase_one"), "one").when(F.col("place") <= F.col("b.total"), "reserve")
     return m.select(*queries.columns, F.col("mandatory").isNotNull().alias("mandatory"), F.col("place").alias("position"), phase.alias("phase"))
 
