@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import labels as L
 from ..operators import postings as PO
 from ..operators import provenance as P
 from ..session import shared_folder, spread, table
@@ -52,7 +53,7 @@ GROUP BY 1, 2 HAVING count(*) = any_value(n.n)
 def cover_density_shortlist(spark, d):
     """T4: the 50 first documents of each benchmark item by cover density, with the oldest others where fewer have any."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("created_at", F.col("doc_id") % 97)
-    return PO.cover_shortlist(table(spark, d, "benchmark"), docs, ("item_id", "text"), ("doc_id", "text", "created_at"), 50).select("item_id", "rank", "doc_id", F.round("score", 9).alias("score"))
+    return PO.cover_shortlist(table(spark, d, "benchmark"), docs, ("item_id", "text"), ("doc_id", "text", "created_at"), 50).select("item_id", "rank", "doc_id", L.half_away(F.col("score"), 9).alias("score"))
 
 
 _PLACES = "SELECT {key}, unnest(list_zip(range(0, len(w)), w)) AS x FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS w FROM {tab})"
