@@ -2,8 +2,8 @@
 
 A claim's terms are walked from the rarest one on. The passages that the first few terms find give a floor: the k-th best of them is
 no better than the k-th best of all. The terms behind the place from which on all together cannot reach the floor are never
-joined with their postings: a passage that has none of the terms before it is out. What may still reach the floor is completed by
-its other terms, by key.
+joined with their postings: a passage that has none of the terms before it is out. The best of the others are completed by
+the remaining terms, by key, which gives a second, higher floor; what may still reach that is completed as well.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import reliable
+from ..session import reliable, unwritten, written
 from .postings import sent
 
 #: Postings of a term that one task may hold; a term with more is dealt out over lanes.
@@ -43,7 +43,7 @@ def best_shared(claims: DataFrame, passages: DataFrame, claim: tuple[str, Column
     asked = sent(_counted(claims, ck, sets).withColumnRenamed("n", "qn"))
     used = sent(asked.select("term").distinct())
     words = exploded(passages, pk).join(used, "term", "left_semi")
-    postings = (words.withColumn("n", F.lit(1).cast("long")) if sets else words.groupBy(pk, "term").agg(F.count(F.lit(1)).alias("n"))).checkpoint()
+    postings = written(words.withColumn("n", F.lit(1).cast("long")) if sets else words.groupBy(pk, "term").agg(F.count(F.lit(1)).alias("n")), "postings")
     lanes = sent(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("lanes", F.ceil(F.col("df") / LANE).cast("int")))
     walk = Window.partitionBy(ck).orderBy("df", "term")
     # walked: postings of rarer terms; left: the most that this term and all more frequent ones can add
@@ -59,9 +59,10 @@ def best_shared(claims: DataFrame, passages: DataFrame, claim: tuple[str, Column
         return dealt.join(turns, ["term", "lane"]).groupBy(ck, pk).agg(F.sum(F.least("qn", "n")).alias("hit"))
 
     def completed(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-        each = pairs.join(terms.select(ck, "term", "qn"), ck, "left").join(postings, [pk, "term"], "left")
-        more = F.sum(F.when(F.col("n").isNotNull(), F.least("qn", "n")).otherwise(0))
-        return each.groupBy(ck, pk).agg((F.first("hit") + more).alias("hit"))
+        # few pairs travel to the postings, which are shuffled only for many
+        each = sent(pairs.join(terms, ck).select(ck, pk, "term", "qn"))
+        more = postings.join(each, [pk, "term"]).select(ck, pk, F.least("qn", "n").alias("hit"))
+        return pairs.select(ck, pk, "hit").unionByName(more).groupBy(ck, pk).agg(F.sum("hit").alias("hit"))
 
     def first(pairs: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(ck).orderBy(F.desc("hit"), pk))
@@ -71,17 +72,19 @@ def best_shared(claims: DataFrame, passages: DataFrame, claim: tuple[str, Column
         best = met(plan)
     else:
         early = F.col("walked") < 4 * k
-        found = completed(first(met(plan.where(early))), plan.where(~early))
-        floor = sent(found.groupBy(ck).agg(F.when(F.count(F.lit(1)) >= k, F.min("hit")).otherwise(1).alias("floor")))
-        bound = plan.join(floor, ck)
-        rest = bound.groupBy(ck, "floor").agg(F.coalesce(F.max(F.when(F.col("left") < F.col("floor"), F.col("left"))), F.lit(0)).alias("rest"))
-        near = met(bound.where("left >= floor"))
-        # the k-th best of these partial sums is a floor, too, and a higher one
-        down = Window.partitionBy(ck).orderBy(F.desc("hit"))
-        least = near.groupBy(ck, "hit").agg(F.count(F.lit(1)).alias("c")).withColumn("c", F.sum("c").over(down)).where(F.col("c") >= k)
-        rest = sent(rest.join(least.groupBy(ck).agg(F.max("hit").alias("least")), ck, "left").select(ck, "rest", F.greatest("floor", "least").alias("least")))
-        near = near.join(rest, ck).where("hit + rest >= least").select(ck, pk, "hit")
-        best = first(completed(near, bound.where("left < floor")))
+        found = completed(sent(first(met(plan.where(early)))), plan.where(~early))
+        floor = found.groupBy(ck).agg(F.when(F.count(F.lit(1)) >= k, F.min("hit")).otherwise(1).alias("floor"))
+        # written before it meets the postings, so that it travels to them
+        bound = sent(plan.join(floor, ck))
+        partial = written(met(bound.where("left >= floor")), "partial")
+        behind = sent(bound.where("left < floor"))
+        # the best of these partial sums, completed, are a higher floor, and what reaches it is little more than the best
+        full = completed(sent(first(partial)), behind)
+        least = full.groupBy(ck).agg(F.when(F.count(F.lit(1)) >= k, F.min("hit")).otherwise(1).alias("least"))
+        rest = sent(behind.groupBy(ck).agg(F.max("left").alias("rest")).join(least, ck, "right"))
+        near = sent(partial.join(rest, ck).where("hit + coalesce(rest, 0) >= least").select(ck, pk, "hit"))
+        unwritten(partial)
+        best = first(completed(near, behind))
     if wanted is not None:
         asked_for = completed(wanted.select(ck, pk).distinct().withColumn("hit", F.lit(0).cast("long")), plan).where("hit > 0")
         best = best.unionByName(asked_for).groupBy(ck, pk).agg(F.max("hit").alias("hit"))
