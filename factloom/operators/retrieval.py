@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 from ..functions import vectors as V
+from .postings import sent
 from .ranked import best_shared
 
 
@@ -118,7 +119,8 @@ def _term_scores(claims: DataFrame, passages: DataFrame, ck: str, pk: str, top:
 
     side = passages.select(pk, "terms")
     if wanted is not None:
-        side = side.join(wanted.groupBy(pk).agg(F.collect_list(ck).alias("wanted")), pk, "left").select(pk, "terms", "wanted")
+        # what is wanted travels to the terms, up to a measured size
+        side = side.join(sent(wanted.groupBy(pk).agg(F.collect_list(ck).alias("wanted"))), pk, "left").select(pk, "terms", "wanted")
     return side.mapInArrow(run, f"{ck} {claims.schema[ck].dataType.simpleString()}, {pk} {passages.schema[pk].dataType.simpleString()}, score double")
 
 
@@ -168,7 +170,8 @@ def hybrid_score(lexical: Column, exact: Column, metadata: Column, role: Column,
 
 def vector_shortlists(queries: DataFrame, vectors: DataFrame, query: tuple[str, str], key: tuple[str, str], k: int = 200, block: int = 2048) -> DataFrame:
     """T2 for many queries: (query key, key, similarity), the k best vectors of each query by cosine, then key. Blocks of queries
-    meet blocks of vectors inside a worker, which keeps each query's best and what is as good but for rounding."""
+    meet blocks of vectors inside a worker, which keeps each query's best and what is as good but for rounding; so do the best of all
+    blocks."""
     (qk, qv), (ck, cv) = query, key
     q = queries.where(F.col(qv).isNotNull()).select(F.col(qk).alias("q"), F.col(qv).cast("array<double>").alias("x"), F.size(qv).alias("dim"))
     c = vectors.where(F.col(cv).isNotNull()).select(F.col(ck).alias("c"), F.col(cv).cast("array<double>").alias("y"), F.size(cv).alias("dim"))
@@ -178,7 +181,7 @@ def vector_shortlists(queries: DataFrame, vectors: DataFrame, query: tuple[str,
     right = c.withColumn("j", F.pmod(F.xxhash64("c"), F.lit(nc)).cast("int")).withColumn("i", parts(nq))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows, columns = np.zeros(0, int), np.zeros(0, int)
+        rows, columns, s = np.zeros(0, int), np.zeros(0, int), np.zeros((0, 0))
         if len(a) and len(b) and a["dim"].iloc[0]:
             x, y = np.array(a["x"].tolist(), float), np.array(b["y"].tolist(), float)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -186,10 +189,13 @@ def vector_shortlists(queries: DataFrame, vectors: DataFrame, query: tuple[str,
             s = np.where(np.isnan(s), -np.inf, s)
             cut = np.partition(s, s.shape[1] - k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2.0)
             rows, columns = np.nonzero((s >= cut[:, None] - 1e-9) & (s > -np.inf))
-        return pd.DataFrame({"q": a["q"].to_numpy()[rows], "c": b["c"].to_numpy()[columns]})
+        return pd.DataFrame({"q": a["q"].to_numpy()[rows], "c": b["c"].to_numpy()[columns], "s": s[rows, columns]})
 
-    types = f"q {q.schema['q'].dataType.simpleString()}, c {c.schema['c'].dataType.simpleString()}"
+    types = f"q {q.schema['q'].dataType.simpleString()}, c {c.schema['c'].dataType.simpleString()}, s double"
     near = left.groupBy("dim", "i", "j").cogroup(right.groupBy("dim", "i", "j")).applyInPandas(best, types)
+    # of all blocks' best only those of the whole, again but for rounding, meet their vectors for the exact similarity
+    whole = Window.partitionBy("q").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = sent(near.withColumn("kth", F.nth_value("s", k).over(whole)).where("kth is null or s >= kth - 1e-9").select("q", "c"))
     exact = near.join(q.select("q", "x"), "q").join(c.select("c", "y"), "c").select("q", "c", V.cosine(F.col("y"), F.col("x")).alias("similarity"))
     top = best_per(exact.where("similarity is not null"), ["q"], [F.desc("similarity"), F.col("c")], k, "__n")
     return top.select(F.col("q").alias(qk), F.col("c").alias(ck), "similarity")
